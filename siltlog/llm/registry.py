@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltlog.llm import sharding
+from siltlog.llm import sharding, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_stratified_sharding": sharding.query,
+        "op10_token_orc": token_files.query,
     }
 
 
