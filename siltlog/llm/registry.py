@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltlog.llm import sharding, token_files
+from siltlog.llm import pieces, sharding, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_sentencepiece": pieces.query,
         "op5_stratified_sharding": sharding.query,
         "op10_token_orc": token_files.query,
     }
