@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltlog.llm import langid, pieces, quality, sharding, token_files
+from siltlog.llm import fingerprints, langid, pieces, quality, sharding, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_langid_spans": langid.query,
         "op4_sentencepiece": pieces.query,
         "op5_stratified_sharding": sharding.query,
+        "op6_one_permutation_minhash": fingerprints.query,
         "op10_token_orc": token_files.query,
     }
 
