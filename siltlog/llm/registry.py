@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltlog.llm import fingerprints, langid, pieces, quality, sharding, token_files
+from siltlog.llm import decontaminate, fingerprints, langid, pieces, quality, sharding, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_nbsvm_quality": quality.query,
+        "op2_qgram_decontamination": decontaminate.query,
         "op3_langid_spans": langid.query,
         "op4_sentencepiece": pieces.query,
         "op5_stratified_sharding": sharding.query,
