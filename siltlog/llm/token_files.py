@@ -39,7 +39,7 @@ class WordEncoder:
     whole tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -50,19 +50,23 @@ class WordEncoder:
     def word(self, word: str) -> list[int]:
         ids = self.known.get(word)
         if ids is None:
-            ids = self.known[word] = [t.id for t in self.whole.model.tokenize(word)]
+            ids = self.known[word] = _tokenize(self.whole, word)
         return ids
 
     def __call__(self, chunks: list[str]) -> list[list[int]]:
         if len(self.known) > self.most:
             self.known = {}
-        out = [None] * len(chunks)
-        rest = []
+        known, out, rest = self.known, [None] * len(chunks), []
         for k, chunk in enumerate(chunks):
+            low = chunk.lower()
+            ids = known.get(low)
+            if ids is not None:  # a word by itself
+                out[k] = ids
+                continue
             if not self.plain or "<|" in chunk or _OTHER.search(chunk):
                 rest.append(k)
                 continue
-            words = _WORDS.findall(chunk.lower())
+            words = _WORDS.findall(low)
             out[k] = self.word(words[0]) if len(words) == 1 else [i for w in words for i in self.word(w)]
         if rest:
             found = self.whole.encode_batch_fast([chunks[k] for k in rest], add_special_tokens=False)
@@ -71,10 +75,22 @@ class WordEncoder:
         return out
 
 
+#: Byte-level BPE writes a byte as a printable character: itself, or the next one from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = dict.fromkeys(_PRINTABLE) | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+_BYTES = {b: chr(b if c is None else c) for b, c in _BYTES.items()}
+
+
+def _tokenize(tokenizer, word: str) -> list[int]:
+    if not word.isascii():
+        word = "".join([_BYTES[b] for b in word.encode()])
+    return [t.id for t in tokenizer.model.tokenize(word)]
+
+
 def _is_word_bpe(tokenizer) -> bool:
     """Whether it lower-cases and splits by the words pattern, as probes show."""
     probe = "It's 12 x-RAY's, ÀÉß! don't|a#b"
-    want = [i for c in probe.split() for w in _WORDS.findall(c.lower()) for i in (t.id for t in tokenizer.model.tokenize(w))]
+    want = [i for c in probe.split() for w in _WORDS.findall(c.lower()) for i in _tokenize(tokenizer, w)]
     return tokenizer.encode(probe, add_special_tokens=False).ids == want
 
 

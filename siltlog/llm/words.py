@@ -21,7 +21,7 @@ def chunks(text: str) -> list[str]:
 class ChunkMemo:
     """Ids of chunks as little-endian 32-bit integers; encode maps a list of chunks to id lists."""
 
-    def __init__(self, encode, most: int = 600_000):
+    def __init__(self, encode, most: int = 900_000):
         self.encode, self.most, self.known = encode, most, {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
