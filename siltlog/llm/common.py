@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -52,3 +53,9 @@ def fold(doc_id: Column, k: int) -> Column:
 
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def settle(spark: SparkSession) -> None:
+    """Let go of the shuffle files of steps that are over: Spark deletes them once their plans are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltlog.llm import decontaminate, fingerprints, langid, near_dedup, pieces, quality, secrets, sharding, token_files
+from siltlog.llm import decontaminate, fingerprints, langid, near_dedup, pieces, quality, secrets, sharding, substring_dedup, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_sentencepiece": pieces.query,
         "op5_stratified_sharding": sharding.query,
         "op6_one_permutation_minhash": fingerprints.query,
+        "op7_bwt_substring_dedup": substring_dedup.query,
         "op8_minhash_near_dedup": near_dedup.query,
         "op9_forest_secret_scan": secrets.query,
         "op10_token_orc": token_files.query,
