@@ -249,5 +249,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     return joined.select(F.col("_id").alias("doc_id"), F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("spans", F.array().cast(hits.schema["spans"].dataType)).alias("spans"))
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The rows of docs that are not contaminated, one pass for each block of the benchmark."""
+
+    def keeper(index):
+        def run(batches):
+            for batch in pieces(batches, 2_000_000):
+                hit = {k for k, *_ in index.value.search([t or "" for t in batch.column("text").to_pylist()])}
+                yield batch.filter(pa.array([k not in hit for k in range(batch.num_rows)], pa.bool_()))
+
+        return run
+
+    for part in blocks(benchmark):
+        index = docs.sparkSession.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").collect()], **options))
+        docs = docs.mapInArrow(keeper(index), docs.schema)
+    return docs
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -226,34 +226,50 @@ class Labeller:
         return sizes, self.model.viterbi(self.scores[at], sizes), self.letters[at], self.seen[at]
 
 
-def _labeller(model: Model):
+def _predict(labeller: Labeller, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Predicted language, score and number of spans of each text."""
+    model = labeller.model
+    k = len(model.langs)
+    if not k:
+        return ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), np.int64)
+    sizes, langs, letters, seen = labeller.spans(texts)
+    doc = np.repeat(np.arange(len(texts)), sizes)
+    share = np.bincount(doc * k + langs, seen, len(texts) * k).reshape(-1, k)
+    total = np.bincount(doc, letters, len(texts))
+    ends = np.flatnonzero((np.diff(langs) != 0) & (np.diff(doc) == 0))
+    top = share.argmax(1)
+    pred = [model.langs[j] if n else "und" for j, n in zip(top, total, strict=True)]
+    return pred, share[np.arange(len(texts)), top] / np.maximum(total, 1), np.bincount(doc[ends], minlength=len(texts)) + 1
+
+
+def _texts(batch) -> list[str]:
+    return [t or "" for t in batch.column("text").to_pylist()]
+
+
+def identify(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, lang_pred, score and the number of spans of each text."""
+
     def run(batches):
         labeller = Labeller(model)
-        k = len(model.langs)
         for batch in pieces(batches):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            if k:
-                sizes, langs, letters, seen = labeller.spans(texts)
-                doc = np.repeat(np.arange(len(texts)), sizes)
-                share = np.bincount(doc * k + langs, seen, len(texts) * k).reshape(-1, k)
-                total = np.bincount(doc, letters, len(texts))
-                ends = np.flatnonzero(np.diff(langs) | np.diff(doc)) if len(langs) else np.zeros(0, int)
-                switches = np.bincount(doc[ends + 1][doc[ends] == doc[ends + 1]], minlength=len(texts)) if len(langs) else np.zeros(len(texts), int)
-                top = share.argmax(1)
-                pred = [model.langs[j] if n else "und" for j, n in zip(top, total, strict=True)]
-                score = share[np.arange(len(texts)), top] / np.maximum(total, 1)
-            else:
-                pred, score, switches = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), int)
+            pred, score, spans = _predict(labeller, _texts(batch))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(switches + 1, pa.int64())], ["doc_id", "lang_pred", "score", "n_spans"]
+                [batch.column("doc_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(spans, pa.int64())], ["doc_id", "lang_pred", "score", "n_spans"]
             )
 
-    return run
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double, n_spans long")
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score and the number of spans of each text."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_labeller(model), "doc_id long, lang_pred string, score double, n_spans long")
+def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of docs whose text has a predicted language with a score of at least `least`."""
+
+    def run(batches):
+        labeller = Labeller(model)
+        for batch in pieces(batches):
+            pred, score, _ = _predict(labeller, _texts(batch))
+            yield batch.filter(pa.array([p != "und" and s >= least for p, s in zip(pred, score, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def label_spans(text: str, model: Model) -> list[tuple[str, str]]:

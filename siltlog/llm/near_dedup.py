@@ -49,8 +49,8 @@ def _describe(shingle: int, rows: int, bands: int):
             sets = shingler.sets([t or "" for t in batch.column("text").to_pylist()])
             keys = [band_keys(signer.sign(s), rows) if len(s) else [] for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "cid", "keys"],
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", "text_hash", "n_shingles", "cid", "keys"],
             )
 
     return run
@@ -132,9 +132,12 @@ def _verify_blocks(percent: int, rows: int):
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row for each row of docs(doc_id, text)."""
+    """doc_id, n_shingles, component_id, text_hash, link_group, kept: one row for each row of docs(doc_id, text).
+
+    link_group names the component also where all its ids are null; it is null for empty sets.
+    """
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    base = spool(texts.mapInArrow(_describe(shingle, rows, bands), "doc_id long, n_shingles long, cid long, keys array<long>"), "near-base")
+    base = spool(texts.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_describe(shingle, rows, bands), "doc_id long, text_hash long, n_shingles long, cid long, keys array<long>"), "near-base")
     # an empty set is no class: its rows stay apart
     classes = base.where("n_shingles > 0").groupBy("cid").agg(F.min("doc_id").alias("first"), F.min("n_shingles").alias("n"), F.first("keys").alias("keys"))
     classes = spool(classes, "near-classes")
@@ -168,12 +171,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
     joined = components(joined.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(later)) if later.limit(1).count() else joined
     labelled = spool(classes.join(joined, classes["cid"] == joined["node"], "left").select("cid", "first", F.coalesce("root", "cid").alias("comp")), "near-labels")
     least = spool(labelled.groupBy("comp").agg(F.min("first").alias("component_id")), "near-least")
-    named = spool(labelled.join(least, "comp").select(F.col("cid").alias("_cid"), "component_id"), "near-named")
-    full = base.where("n_shingles > 0").select("doc_id", "n_shingles", "cid")
-    out = full.join(named, full["cid"] == named["_cid"]).select("doc_id", "n_shingles", "component_id")
-    empty = base.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    named = spool(labelled.join(least, "comp").select(F.col("cid").alias("_cid"), "component_id", F.col("comp").alias("link_group")), "near-named")
+    full = base.where("n_shingles > 0").select("doc_id", "text_hash", "n_shingles", "cid")
+    out = full.join(named, full["cid"] == named["_cid"]).select("doc_id", "n_shingles", "component_id", "text_hash", "link_group")
+    empty = base.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_hash", F.lit(None).cast("long").alias("link_group"))
     return out.unionAll(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs without all but one of each component; rows equal in id and text count as one."""
+    found = spool(near_duplicates(docs, **options), "near-found")
+    kept = found.where("kept")
+    one = kept.where("link_group is not null").groupBy("link_group").agg(F.min(F.struct("doc_id", "text_hash")).alias("x")).select("x.*")
+    chosen = one.unionAll(kept.where("link_group is null").select("doc_id", "text_hash").distinct())
+    chosen = chosen.select(F.coalesce("doc_id", F.lit(-1).cast("long")).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.col("text_hash").alias("_hash"))
+    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")), "_none": F.col("doc_id").isNull(), "_hash": F.xxhash64(F.col("text").cast("string"))})
+    out = keyed.join(chosen, ["_id", "_none", "_hash"], "left_semi")
+    if found.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count():
+        out = out.dropDuplicates(["_id", "_none", "_hash"])
+    return out.select(*[out[c] for c in docs.columns])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), shingle=2)
