@@ -1,0 +1,37 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from siltlog.llm import secrets
+
+
+@pytest.fixture(scope="module")
+def trees(spark):
+    return secrets.train(secrets.labelled_findings(spark, 80), trees=15)
+
+
+def test_trees_equal_spark_and_hold_on_new_lines(spark, trees):
+    fresh = secrets.labelled_findings(spark, 110).where(F.length("text") > 0).select("text", "label")
+    fresh = fresh.exceptAll(secrets.labelled_findings(spark, 80))
+    rows = secrets.found_in(fresh).select("label", F.explode("_c").alias("c")).select("label", secrets.votes(trees, F.col("c.f")).alias("v")).collect()
+    right = sum((r.v > 0.5) == (r.label > 0.5) for r in rows)
+    assert len(rows) > 500 and right / len(rows) > 0.98
+
+
+def test_scan_and_edge_cases(spark, trees):
+    rng = random.Random(2)
+    key = "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16))
+    token = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    rows = [
+        (1, f"The one\n\nwas {key}, and\ttoken = \"{token}\"### on. ", 2), (2, f"commit {token} was made", 0), (3, "call +1 (988) 555-2485 or 4041894974608795 today", 0), (4, None, 0), (5, "", 0),
+        (6, "plain words only", 0), (None, f"password={token[:18]}", 1), (7, "w " * 60_000 + key + " x" * 60_000, 1), (7, "w " * 60_000 + key + " x" * 60_000, 1), (8, "write aocdtk.12@mail3.example.com please", 0),
+    ]
+    docs = spark.createDataFrame([(i, t, "x") for i, t, _ in rows], "doc_id long, text string, value string")
+    found = secrets.scan(docs, trees).collect()
+    key_of = lambda r: ((r[0] or -1), r[1] or "")
+    for r, (i, t, n) in zip(sorted(found, key=lambda r: ((r.doc_id or -1), r.text or "")), sorted(rows, key=key_of)):
+        assert sum(f.secret for f in r.findings) == n, (i, r.findings)
+        want = t if t is None else t.replace(key, "[REDACTED]").replace(token, "[REDACTED]") if n == 2 or n and i == 7 else "password=[REDACTED]" if n else t
+        assert r.redacted == want
+    assert secrets.scan(docs.limit(0), trees).count() == 0
