@@ -42,7 +42,7 @@ def _days(s: Settings) -> Column:
 
 YR, MO, DAY = F.year, F.month, F.dayofmonth
 _ymd = lambda *names: [{"YR": YR, "MO": MO, "DAY": DAY}[n]("dt").alias(n) for n in names]
-_uniques = F.countDistinct("ip").alias("N")
+_uniques = lambda: F.countDistinct("ip").alias("N")
 
 
 def _count(df: DataFrame, agg: Column, *keys: Column) -> DataFrame:
@@ -70,17 +70,17 @@ def q03(t: Tables, s: Settings) -> DataFrame:
 
     recent = months_before(F.lit(s.as_of).cast("timestamp_ntz"), F.col("dt")) < 2
     df = _with(t, "vhost", "url").where(F.col("vhost").rlike(rf"(www\.)?{s.host}") & (F.col("http") != 404) & recent & F.col("url").rlike(r"/pics/.+\.(jpg|png)$"))
-    return _count(df, _uniques, *_ymd("YR", "MO", "DAY"), F.col("url").alias("URL")).select("YR", "MO", "DAY", "N", "URL").orderBy(F.desc("YR"), F.desc("MO"), F.desc("DAY"), F.desc("N"), "URL")
+    return _count(df, _uniques(), *_ymd("YR", "MO", "DAY"), F.col("url").alias("URL")).select("YR", "MO", "DAY", "N", "URL").orderBy(F.desc("YR"), F.desc("MO"), F.desc("DAY"), F.desc("N"), "URL")
 
 
 def q04(t: Tables, s: Settings) -> DataFrame:
     df = _with(t, "vhost", "url").where((F.col("http") != 404) & F.col("url").rlike(r"/pics/.+\.(jpg|png)$"))
-    return _count(df, _uniques, *_ymd("YR", "MO"), F.col("url").alias("URL")).select("YR", "MO", "N", "URL").orderBy(F.desc("YR"), F.desc("MO"), F.desc("N"), "URL").limit(1000)
+    return _count(df, _uniques(), *_ymd("YR", "MO"), F.col("url").alias("URL")).select("YR", "MO", "N", "URL").orderBy(F.desc("YR"), F.desc("MO"), F.desc("N"), "URL").limit(1000)
 
 
 def q05(t: Tables, s: Settings) -> DataFrame:
     df = _with(t, "vhost", "url").where(F.col("url").rlike(r"\.html$") & (F.col("http") != 404) & (_days(s) < 366))
-    df = _count(df, _uniques, *_ymd("YR", "MO"), F.col("vhost").alias("VHOST"), F.col("url").alias("URL")).where("N > 5")
+    df = _count(df, _uniques(), *_ymd("YR", "MO"), F.col("vhost").alias("VHOST"), F.col("url").alias("URL")).where("N > 5")
     return df.select("YR", "MO", "N", "VHOST", "URL").orderBy("VHOST", F.desc("YR"), F.desc("MO"), F.desc("N"), "URL")
 
 
@@ -102,7 +102,7 @@ def q08(t: Tables, s: Settings) -> DataFrame:
 
 def q09(t: Tables, s: Settings) -> DataFrame:
     df = _with(t, "vhost", "url").where(F.col("url").rlike(r"\.html$") & (F.col("http") != 404) & (_days(s) < 180))
-    df = _count(df, _uniques, *_ymd("YR", "MO", "DAY"), F.col("vhost").alias("VHOST"), F.col("url").alias("URL"))
+    df = _count(df, _uniques(), *_ymd("YR", "MO", "DAY"), F.col("vhost").alias("VHOST"), F.col("url").alias("URL"))
     return df.select("YR", "MO", "DAY", "N", "VHOST", "URL").orderBy(F.desc("YR"), F.desc("MO"), F.desc("DAY"), F.desc("N"), "VHOST", "URL")
 
 
@@ -128,7 +128,7 @@ def q13(t: Tables, s: Settings) -> DataFrame:
 
 
 def q14(t: Tables, s: Settings) -> DataFrame:
-    return _count(_with(t, "vhost"), _uniques, F.col("vhost").alias("VHOST")).select("N", "VHOST").orderBy(F.desc("N"), "VHOST").limit(100)
+    return _count(_with(t, "vhost"), _uniques(), F.col("vhost").alias("VHOST")).select("N", "VHOST").orderBy(F.desc("N"), "VHOST").limit(100)
 
 
 def _visits(t: Tables, s: Settings) -> DataFrame:
@@ -136,7 +136,7 @@ def _visits(t: Tables, s: Settings) -> DataFrame:
 
 
 def q15(t: Tables, s: Settings) -> DataFrame:
-    df = _count(_visits(t, s), _uniques, F.col("url").alias("URL"), *_ymd("YR", "MO")).where("N > 1")
+    df = _count(_visits(t, s), _uniques(), F.col("url").alias("URL"), *_ymd("YR", "MO")).where("N > 1")
     return df.select("YR", "MO", "N", "URL").orderBy(F.desc("YR"), F.desc("MO"), F.desc("N"), "URL")
 
 
@@ -147,13 +147,13 @@ def q16(t: Tables, s: Settings) -> DataFrame:
 
 def q17(t: Tables, s: Settings) -> DataFrame:
     df = _with(t, "vhost", "url").where(F.col("vhost").rlike(rf"(www\.)?{s.host}") & (F.col("http") != 404) & F.col("url").rlike(r"/pics/.+\.jpg"))
-    df = _count(df, _uniques, *_ymd("YR", "MO"), F.col("url").alias("URL")).where("N > 10")
+    df = _count(df, _uniques(), *_ymd("YR", "MO"), F.col("url").alias("URL")).where("N > 10")
     return df.select("YR", "MO", "N", "URL").orderBy(F.desc("YR"), F.desc("MO"), F.desc("N"), "URL")
 
 
 def q18(t: Tables, s: Settings) -> DataFrame:
     df = _with(t, "vhost", "url").where((F.col("http") == 404) & ~F.col("url").rlike("^/(apple|favicon)"))
-    return _count(df, _uniques, F.col("url").alias("URL")).where("N > 1").select("N", "URL").orderBy(F.desc("N"), "URL")
+    return _count(df, _uniques(), F.col("url").alias("URL")).where("N > 1").select("N", "URL").orderBy(F.desc("N"), "URL")
 
 
 REPORTS: dict[str, Callable[[Tables, Settings], DataFrame]] = {
