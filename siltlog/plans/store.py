@@ -73,3 +73,13 @@ def derived_store(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm.org.apache.hadoop.fs.Path(path))
         _BUILT[key] = path
     return read(spark, _BUILT[key])
+
+
+def write_jdbc(tables: dict[str, DataFrame], url: str, properties: dict[str, str] | None = None, mode: str = "append") -> None:
+    """Copy the tables to a database by its JDBC address; its driver must be on the class path."""
+    for name in TABLES:
+        tables[name].write.jdbc(url, name, mode, properties or {})
+
+
+def read_jdbc(spark: SparkSession, url: str, properties: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    return {n: spark.read.jdbc(url, n, properties=properties or {}) for n in TABLES}

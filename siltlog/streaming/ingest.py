@@ -21,7 +21,7 @@ from siltlog.sources.logs import file_vhosts
 ENTRY_SCHEMA = "dt timestamp_ntz, ip string, http int, was_rd boolean, vhost string, url string, ref string, ua string"
 
 
-def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
@@ -30,11 +30,11 @@ def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def entries_view(spark: SparkSession, store: str) -> DataFrame:
     """Stored entries without those of addresses rejected since."""
-    return purge(_stored(spark, f"{store}/entries_flat", ENTRY_SCHEMA), rejected_view(spark, store)).select(*ENTRY)
+    return purge(stored(spark, f"{store}/entries_flat", ENTRY_SCHEMA), rejected_view(spark, store)).select(*ENTRY)
 
 
 def rejected_view(spark: SparkSession, store: str) -> DataFrame:
-    return _stored(spark, f"{store}/rejected_ips", "ip string, blocked boolean").groupBy("ip").agg(F.max("blocked").alias("blocked"))
+    return stored(spark, f"{store}/rejected_ips", "ip string, blocked boolean").groupBy("ip").agg(F.max("blocked").alias("blocked"))
 
 
 def stream(spark: SparkSession, logs: str, store: str, rules: Ruleset, pattern: str = "*access.log*", files_per_trigger: int = 100) -> StreamingQuery:
@@ -45,7 +45,7 @@ def stream(spark: SparkSession, logs: str, store: str, rules: Ruleset, pattern:
         lines, vhosts = file_vhosts(batch.select("file", key.alias("line_key"), "value"))
         frames = ingest(lines, rules, vhosts, rejected_view(batch.sparkSession, store))
         new = rejected_ips(frames.judged)
-        fresh = without_stored(frames.entries.select(*ENTRY), _stored(batch.sparkSession, f"{store}/entries_flat", ENTRY_SCHEMA))
+        fresh = without_stored(frames.entries.select(*ENTRY), stored(batch.sparkSession, f"{store}/entries_flat", ENTRY_SCHEMA))
         fresh.write.mode("append").parquet(f"{store}/entries_flat")
         new.write.mode("append").parquet(f"{store}/rejected_ips")
 
