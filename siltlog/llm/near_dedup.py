@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltlog.llm.common import documents, spool
+from siltlog.llm.common import documents, settle, small_batches, spool
 from siltlog.llm.components import components
 from siltlog.llm.shingles import Shingler, Signer, band_keys
 from siltlog.llm.words import pieces
@@ -84,7 +84,7 @@ def _least_same(count: int, percent: int) -> float:
 
 def _verify(percent: int):
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
             keep = []
             columns = [batch.column(c).to_pylist() for c in ("sig_a", "sig_b", "items_a", "items_b")]
             for k, (sa, sb, ia, ib) in enumerate(zip(*columns, strict=True)):
@@ -115,7 +115,7 @@ def _verify_blocks(percent: int, rows: int):
     def run(batches):
         for batch in batches:
             found = set()
-            for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
+            for left, right in ((batch.column("left")[k].as_py(), batch.column("right")[k].as_py()) for k in range(batch.num_rows)):
                 band = left[0]["at"]
                 (s, bs, cs, xs), (t, bt, ct, ys) = unpack(left), unpack(right)
                 least = _least_same(s.shape[1], percent)
@@ -136,6 +136,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
 
     link_group names the component also where all its ids are null; it is null for empty sets.
     """
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs, shingle, percent, rows, bands)
+
+
+def _near_duplicates(docs: DataFrame, shingle: int, percent: int, rows: int, bands: int) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     base = spool(texts.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_describe(shingle, rows, bands), "doc_id long, text_hash long, n_shingles long, cid long, keys array<long>"), "near-base")
     # an empty set is no class: its rows stay apart
@@ -149,6 +154,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
     wanted = members.select("cid").distinct().join(classes.select("cid", "first"), "cid").select(F.col("first").alias("doc_id"), F.col("cid").alias("_cid"))
     found = texts.join(wanted.select("doc_id").distinct(), texts["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi").mapInArrow(_payload(shingle, rows, bands), "cid long, sig binary, items binary")
     payload = spool(found.join(members.select("cid").distinct(), "cid", "left_semi").dropDuplicates(["cid"]), "near-payload")
+    settle(docs.sparkSession)
     links = spool(_check(pairs, payload, percent), "near-links")
     joined = components(links)
     labelled = members.join(joined, members["cid"] == joined["node"], "left").select("band", "at", "cid", "pivot", "m", F.coalesce("root", "cid").alias("comp"))

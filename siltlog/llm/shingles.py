@@ -18,7 +18,7 @@ class Shingler:
     A-Z lower-cased. Fewer words than `size` make one shingle; no words, none.
     """
 
-    def __init__(self, size: int, most: int = 500_000):
+    def __init__(self, size: int, most: int = 200_000):
         self.size, self.most, self.known = size, most, {}
 
     def sets(self, texts: list[str]) -> list[np.ndarray]:
