@@ -10,7 +10,8 @@ stretches of neighbouring strings with one minimizer, and a stretch only matters
 if its minimizer is found in two texts. Those stretches are dealt out by the
 minimizer. Where one is in more texts than `hot`, its strings are dealt out one
 by one by a hash of the whole string instead, so no minimizer makes a large task.
-In each bucket equal stretches are put together, the different ones form shards
+In each bucket equal stretches are put together (the smallest id tells which of
+them go whole), and those whose minimizer several different ones have form shards
 whose Burrows-Wheeler transforms are merged by interleave refinement up to
 `length` bytes; the blocks of the merged rows are the repeated strings, and the
 smallest id of a block tells which of them go.
@@ -85,7 +86,7 @@ def stretches(data: np.ndarray, starts: np.ndarray, length: int):
 
 def _scan(length: int, ranges: int):
     def run(batches):
-        for batch in pieces(batches):
+        for batch in pieces(batches, 4_000_000):
             data, starts = join_bytes([(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()])
             _, _, text, at, h, _ = stretches(data, starts, length)
             if not len(at):
@@ -128,7 +129,7 @@ def _repeated(hot: int):
     return run
 
 
-_CUT = pa.schema([("bucket", pa.int32()), ("tids", pa.binary()), ("ids", pa.binary()), ("starts", pa.binary()), ("sizes", pa.binary()), ("data", pa.binary())])
+_CUT = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("tids", pa.binary()), ("ids", pa.binary()), ("starts", pa.binary()), ("sizes", pa.binary()), ("data", pa.binary())])
 
 
 def _cut(length: int, buckets: int):
@@ -156,7 +157,7 @@ def _cut(length: int, buckets: int):
                 continue
             bucket = ((key >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
-            a, b, t, bucket = a[order], b[order], t[order], bucket[order]
+            a, b, t, key, bucket = a[order], b[order], t[order], key[order], bucket[order]
             size = b - a + length
             tid, ids = batch.column("tid").to_numpy(), batch.column("first").to_numpy()
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
@@ -164,7 +165,7 @@ def _cut(length: int, buckets: int):
             for x, y in zip(cuts[:-1], cuts[1:], strict=True):
                 s = size[x:y]
                 where = np.repeat(a[x:y] - (np.cumsum(s) - s), s) + np.arange(s.sum())
-                rows.append((int(bucket[x]), tid[t[x:y]].astype("<i8").tobytes(), ids[t[x:y]].astype("<i8").tobytes(), (a[x:y] - starts[t[x:y]]).astype("<u4").tobytes(), s.astype("<u4").tobytes(), data[where].tobytes()))
+                rows.append((int(bucket[x]), key[x:y].astype("<u8").tobytes(), tid[t[x:y]].astype("<i8").tobytes(), ids[t[x:y]].astype("<i8").tobytes(), (a[x:y] - starts[t[x:y]]).astype("<u4").tobytes(), s.astype("<u4").tobytes(), data[where].tobytes()))
             yield pa.RecordBatch.from_pylist([dict(zip(_CUT.names, x, strict=True)) for x in rows], schema=_CUT)
 
     return run
@@ -201,9 +202,10 @@ def repeated_starts(strings: list[bytes], ids: np.ndarray, length: int, shards:
 def _search(length: int):
     def run(table: pa.Table) -> pa.Table:
         seen: dict[bytes, int] = {}
-        tids, ids, starts, number = [], [], [], []
+        keys, tids, ids, starts, number = [], [], [], [], []
         for x in table.to_pylist():
             sizes = np.frombuffer(x["sizes"], "<u4").tolist()
+            keys.append(np.frombuffer(x["keys"], "<u8"))
             tids.append(np.frombuffer(x["tids"], "<i8"))
             ids.append(np.frombuffer(x["ids"], "<i8"))
             starts.append(np.frombuffer(x["starts"], "<u4").astype(np.int64))
@@ -219,11 +221,16 @@ def _search(length: int):
         np.minimum.at(least, number, doc)
         later = doc > least[number]  # equal to a stretch of an earlier document
         out_tid, out_a, out_b = [tid[later]], [start[later]], [start[later] + size[number[later]]]
-        if len(strings) > 1:
+        # a stretch shares strings only with others of its minimizer
+        key = np.zeros(len(strings), np.uint64)
+        key[number] = np.concatenate(keys)
+        _, group, n = np.unique(key, return_inverse=True, return_counts=True)
+        mixed = np.flatnonzero(n[group] > 1)
+        if len(mixed):
             own = np.flatnonzero(~later)
             by = own[np.argsort(number[own], kind="stable")]
             ends = np.searchsorted(number[by], np.arange(len(strings) + 1))
-            for k, hit in enumerate(repeated_starts(strings, least, length)):
+            for k, hit in zip(mixed.tolist(), repeated_starts([strings[k] for k in mixed], least[mixed], length), strict=True):
                 if not len(hit):
                     continue
                 breaks = np.flatnonzero(np.diff(hit) > length) + 1
@@ -272,7 +279,7 @@ def removed_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Da
     buckets = max(parts(spark), -(-places.count() * 70 // BUCKET_BYTES))
     wanted = places.groupBy("tid").agg(F.collect_set("place").alias("places")).join(firsts, "tid").select(F.col("tid").alias("_tid"), F.col("first"), "places")
     chosen = texts.join(wanted, (F.col("_id") == F.col("first")) & (F.col("tid") == F.col("_tid"))).select("tid", "first", "text", "places").dropDuplicates(["tid"])
-    strings = chosen.mapInArrow(_cut(length, buckets), "bucket int, tids binary, ids binary, starts binary, sizes binary, data binary")
+    strings = chosen.mapInArrow(_cut(length, buckets), "bucket int, keys binary, tids binary, ids binary, starts binary, sizes binary, data binary")
     spans = spool(strings.groupBy("bucket").applyInArrow(_search(length), "tid long, a long, b long"), "repeat-spans")
     settle(spark)
     spans = spans.groupBy("tid").agg(F.collect_list(F.struct("a", "b")).alias("spans")).join(firsts, "tid").select(F.col("tid").alias("_tid"), "first", "spans")
