@@ -24,7 +24,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         key = (key << np.uint64(8)) | wide[k : k + n]
     depth = 8
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = np.zeros(n, np.int64)
         ordered = key[order]
         new[1:] = np.cumsum(ordered[1:] != ordered[:-1])
@@ -48,20 +48,20 @@ def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndar
     Returns the row of the joined transforms that stands at each place, and
     whether a block of rows with the same first `depth` bytes begins there.
     """
-    chars = np.concatenate(transforms)
-    n = len(chars)
-    shard = np.repeat(np.arange(len(transforms), dtype=np.uint8), [len(t) for t in transforms])
-    base = np.concatenate([[0], np.cumsum([len(t) for t in transforms])])
-    block, rows, begins = np.zeros(n, np.int32), np.arange(n), np.zeros(n, bool)
+    chars, n = np.concatenate(transforms), sum(map(len, transforms))
+    before = np.empty(n, np.int32)  # the row, in its shard, of the rotation that begins one byte earlier
+    base = 0
+    for t in transforms:
+        before[base + np.argsort(t, kind="stable")] = np.arange(base, base + len(t), dtype=np.int32)
+        base += len(t)
+    block, rows, begins = np.zeros(n, np.int32), np.arange(n, dtype=np.int32), np.zeros(n, bool)
     for _ in range(depth):
         here = chars[rows]
         order = np.argsort(here, kind="stable")
-        shard, here, block = shard[order], here[order], block[order]
+        here, block, rows = here[order], block[order], before[rows[order]]
         begins = np.ones(n, bool)
         begins[1:] = (here[1:] != here[:-1]) | (block[1:] != block[:-1])
         block = np.cumsum(begins, dtype=np.int32)
-        for s in range(len(transforms)):  # a shard's rows keep their order in any interleave
-            rows[shard == s] = np.arange(base[s], base[s + 1])
         if begins.all():
             break
     return rows, begins

@@ -278,13 +278,17 @@ def removed_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Da
     settle(spark)
     buckets = max(parts(spark), -(-places.count() * 70 // BUCKET_BYTES))
     wanted = places.groupBy("tid").agg(F.collect_set("place").alias("places")).join(firsts, "tid").select(F.col("tid").alias("_tid"), F.col("first"), "places")
-    chosen = texts.join(wanted, (F.col("_id") == F.col("first")) & (F.col("tid") == F.col("_tid"))).select("tid", "first", "text", "places").dropDuplicates(["tid"])
-    strings = chosen.mapInArrow(_cut(length, buckets), "bucket int, keys binary, tids binary, ids binary, starts binary, sizes binary, data binary")
+    chosen = texts.join(wanted, (F.col("_id") == F.col("first")) & (F.col("tid") == F.col("_tid"))).select("_id", "tid", "first", "text", "places")
+    repeats = base.groupBy("_id", "tid").count().where("count > 1").limit(1).count() > 0
+    if repeats:  # rows equal in id and text: the join has them together already
+        chosen = chosen.dropDuplicates(["_id", "tid"])
+    strings = chosen.drop("_id").mapInArrow(_cut(length, buckets), "bucket int, keys binary, tids binary, ids binary, starts binary, sizes binary, data binary")
     spans = spool(strings.groupBy("bucket").applyInArrow(_search(length), "tid long, a long, b long"), "repeat-spans")
     settle(spark)
     spans = spans.groupBy("tid").agg(F.collect_list(F.struct("a", "b")).alias("spans")).join(firsts, "tid").select(F.col("tid").alias("_tid"), "first", "spans")
-    hit = texts.join(spans, (F.col("_id") == F.col("first")) & (F.col("tid") == F.col("_tid"))).select("tid", "text", "spans").dropDuplicates(["tid"])
-    removed = spool(hit.mapInArrow(_remove, "tid long, n_removed long, n_spans long, kept_sha256 string"), "repeat-removed")
+    hit = texts.join(spans, (F.col("_id") == F.col("first")) & (F.col("tid") == F.col("_tid"))).select("_id", "tid", "text", "spans")
+    hit = hit.dropDuplicates(["_id", "tid"]) if repeats else hit
+    removed = spool(hit.drop("_id").mapInArrow(_remove, "tid long, n_removed long, n_spans long, kept_sha256 string"), "repeat-removed")
     settle(spark)
     told = spool(firsts.join(removed, "tid", "left").select(F.col("tid").alias("_tid"), "first", "n_removed", "n_spans", "kept_sha256"), "repeat-told")
     copy = (F.col("_id") > F.col("first")) & (F.col("n_bytes") >= length)
