@@ -98,18 +98,17 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     else:
         part = F.lit(0)
     placed = docs.withColumn("_part", part)
-    firsts = {r["_part"]: r["first"] for r in placed.groupBy("_part").agg(F.min(F.struct(F.coalesce(F.col("doc_id").isNotNull().cast("int"), F.lit(0)).alias("v"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("d"), "_h")).alias("first")).collect()}
-    order = sorted(firsts)
-    ghost = F.lit(None).cast("int")
-    for k, p in enumerate(order):
-        f = firsts[p]
-        is_first = (F.col("_part") == p) & (F.col("doc_id").isNotNull().cast("int") == f["v"]) & (F.coalesce("doc_id", F.lit(0).cast("long")) == f["d"]) & (F.col("_h") == f["_h"])
-        ghost = F.when(is_first, F.lit(order[k - 1])).otherwise(ghost)
+    key = F.struct(F.coalesce(F.col("doc_id").isNotNull().cast("int"), F.lit(0)).alias("v"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("d"), F.col("_h").alias("h"))
+    whole = Window.partitionBy(F.lit(0))
+    firsts = placed.groupBy("_part").agg(F.min(key).alias("_first"))
+    firsts = firsts.withColumn("_before", F.coalesce(F.lag("_part").over(whole.orderBy("_part")), F.max("_part").over(whole)))
+    placed = placed.join(F.broadcast(firsts), "_part")  # as many rows as ranges
+    ghost = F.when(key == F.col("_first"), F.col("_before"))
     twice = F.array(F.struct(F.col("_part").alias("p"), F.lit(0).alias("ghost")), F.struct(ghost.alias("p"), F.lit(1).alias("ghost")))
     rows = placed.withColumn("_to", F.explode(F.filter(twice, lambda t: t["p"].isNotNull()))).withColumns({"_part": F.col("_to.p"), "_ghost": F.col("_to.ghost")})
     w = Window.partitionBy("_part").orderBy("_ghost", F.col("doc_id").asc_nulls_first(), "_h")
     out = rows.withColumns({f"next_{c}": F.lead(c).over(w) for c in columns})
-    return out.where("_ghost = 0").drop("_part", "_ghost", "_to")
+    return out.where("_ghost = 0").drop("_part", "_first", "_before", "_ghost", "_to")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
