@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltlog.llm.common import documents
-from siltlog.llm.words import pieces
+from siltlog.llm.words import claim, pieces
 
 Q, WINDOW, STRIDE, RATE = 10, 80, 20, 0.08
 BLOCK_CHARS = 4_000_000
@@ -204,6 +204,7 @@ SCHEMA = "doc_id long, contaminated boolean, item_ids array<long>, spans array<s
 
 def _searcher(index):
     def run(batches):
+        claim("decontaminate")
         ix = index.value
         for batch in pieces(batches, 2_000_000):
             found: dict[int, list] = {}
@@ -254,6 +255,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
     def keeper(index):
         def run(batches):
+            claim("decontaminate")
             for batch in pieces(batches, 2_000_000):
                 hit = {k for k, *_ in index.value.search([t or "" for t in batch.column("text").to_pylist()])}
                 yield batch.filter(pa.array([k not in hit for k in range(batch.num_rows)], pa.bool_()))

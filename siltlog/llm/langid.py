@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltlog.llm.common import documents, fold
-from siltlog.llm.words import chunks, pieces
+from siltlog.llm.words import chunks, claim, pieces
 
 #: First code points of script ranges, in order; letters outside all others are "other".
 SCRIPTS = [
@@ -199,7 +199,7 @@ def fit(docs: DataFrame, train_docs: int = 400, penalty: float = 8.0) -> Model:
 class Labeller:
     """Keeps the scores of chunks seen lately, up to a bound."""
 
-    def __init__(self, model: Model, most: int = 500_000):
+    def __init__(self, model: Model, most: int = 250_000):
         self.model, self.most = model, most
         self.reset()
 
@@ -250,6 +250,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score and the number of spans of each text."""
 
     def run(batches):
+        claim("langid")
         labeller = Labeller(model)
         for batch in pieces(batches):
             pred, score, spans = _predict(labeller, _texts(batch))
@@ -264,6 +265,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFr
     """The rows of docs whose text has a predicted language with a score of at least `least`."""
 
     def run(batches):
+        claim("langid")
         labeller = Labeller(model)
         for batch in pieces(batches):
             pred, score, _ = _predict(labeller, _texts(batch))

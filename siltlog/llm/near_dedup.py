@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from siltlog.llm.common import documents, settle, small_batches, spool
 from siltlog.llm.components import components
 from siltlog.llm.shingles import Shingler, Signer, band_keys
-from siltlog.llm.words import pieces
+from siltlog.llm.words import claim, pieces
 
 ROWS, BANDS = 6, 36
 SMALL, BLOCK = 12, 32  # members of a bucket that is taken pair by pair; of a block in larger ones
@@ -44,6 +44,7 @@ def _class(items: np.ndarray) -> int:
 
 def _describe(shingle: int, rows: int, bands: int):
     def run(batches):
+        claim("near_dedup")
         shingler, signer = Shingler(shingle), Signer(rows * bands)
         for batch in pieces(batches):
             sets = shingler.sets([t or "" for t in batch.column("text").to_pylist()])
@@ -58,6 +59,7 @@ def _describe(shingle: int, rows: int, bands: int):
 
 def _payload(shingle: int, rows: int, bands: int):
     def run(batches):
+        claim("near_dedup")
         shingler, signer = Shingler(shingle), Signer(rows * bands)
         for batch in pieces(batches):
             sets = shingler.sets([t or "" for t in batch.column("text").to_pylist()])

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltlog.llm.common import documents
+from siltlog.llm.words import claim
 from siltlog.llm.words import pieces as slices
 
 MARK = "▁"
@@ -42,7 +43,7 @@ _SEGMENT = re.compile(f"{MARK}*[^{MARK}\n]+|\n|{MARK}+")
 class PieceModel:
     """Encoder and decoder for a SentencePiece model file without normalizing rules."""
 
-    def __init__(self, data: bytes, most: int = 600_000):
+    def __init__(self, data: bytes, most: int = 400_000):
         from sentencepiece import sentencepiece_model_pb2
 
         proto = sentencepiece_model_pb2.ModelProto()
@@ -195,6 +196,7 @@ def load(path: str) -> PieceModel:
 
 def _encoder(path: str):
     def run(batches):
+        claim("pieces", load.cache_clear)
         model = load(path)
         for batch in slices(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]

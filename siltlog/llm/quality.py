@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltlog.llm.common import documents, fold
-from siltlog.llm.words import chunks, pieces
+from siltlog.llm.words import chunks, claim, pieces
 
 BITS = 20
 WORD_ORDERS, SHAPE_ORDERS = (1, 2), (1, 2, 3, 4, 8)
@@ -49,7 +49,7 @@ def shape(chunk: str) -> str:
 class Features:
     """Distinct n-gram buckets of texts; hashes of chunks seen lately are kept, up to a bound."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 300_000):
         self.most = most
         self.reset()
 
@@ -209,6 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = 4000) -> Model:
 
 def _scorer(model):
     def run(batches):
+        claim("quality")
         features = Features()
         for batch in pieces(batches):
             found = model.value.scores(features, [t or "" for t in batch.column("text").to_pylist()])

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltlog.llm.common import documents, drop_path, parts, scratch_path, spool
-from siltlog.llm.words import ChunkMemo, pieces
+from siltlog.llm.words import ChunkMemo, claim, pieces
 
 SCHEMA = "row int, doc_id long, ids array<int>"
 #: Characters for which the pattern below equals the tokenizer's own normalizing and splitting.
@@ -101,6 +101,7 @@ def _memo(path: str) -> ChunkMemo:
 
 def _encoder(path: str, end_id: int):
     def run(batches):
+        claim("tokens", _memo.cache_clear)
         memo, end, row = _memo(path), np.array([end_id], "<u4").tobytes(), 0
         for batch in pieces(batches):
             found = [x + end for x in memo.ids([t or "" for t in batch.column("text").to_pylist()])]

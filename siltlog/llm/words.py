@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 
 import numpy as np
@@ -18,6 +19,21 @@ def chunks(text: str) -> list[str]:
     return _CHUNK.findall(text) if _NOT_BLANK.search(text) else text.split()
 
 
+_OWNER: list = [None, None]
+
+
+def claim(name: str, drop=None) -> None:
+    """Say whose tables this worker keeps from now on; those of the one before are dropped.
+
+    Python workers outlive tasks and serve one operator after another, so what
+    one of them keeps would otherwise stay beside what the next one needs.
+    """
+    if _OWNER[0] not in (None, name) and _OWNER[1] is not None:
+        _OWNER[1]()
+        gc.collect()
+    _OWNER[:] = name, drop
+
+
 class ChunkMemo:
     """Ids of chunks as little-endian 32-bit integers; encode maps a list of chunks to id lists."""
 
@@ -43,7 +59,7 @@ class ChunkMemo:
         return out
 
 
-def pieces(batches, limit: int = 4_000_000):
+def pieces(batches, limit: int = 2_000_000):
     """Slices of Arrow batches whose first string column holds about `limit` bytes at most (or one row)."""
     for batch in batches:
         lengths = np.array([0 if v is None else v for v in _byte_lengths(batch)], np.int64)
