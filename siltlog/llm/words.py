@@ -37,7 +37,7 @@ def claim(name: str, drop=None) -> None:
 class ChunkMemo:
     """Ids of chunks as little-endian 32-bit integers; encode maps a list of chunks to id lists."""
 
-    def __init__(self, encode, most: int = 900_000):
+    def __init__(self, encode, most: int = 700_000):
         self.encode, self.most, self.known = encode, most, {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
