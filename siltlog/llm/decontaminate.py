@@ -2,13 +2,19 @@
 
 Texts and benchmark items are folded (letters and digits in lower case, every
 run of other characters one blank). Items are cut into windows of `window`
-folded characters, one each `stride` characters and one at the end; a shorter
-item is one window. A text is contaminated if one of its substrings is within
-the edit budget of a window (int(rate * window) edits). A window with e edits
-keeps at least length - q + 1 - q * e of its q-grams, on diagonals that differ
-by 2e at most. So shared q-grams are counted in overlapping diagonal bands of
-two such widths, bands that meet the bound stay, and an alignment confined to
-the band decides. This finds exactly the texts that the definition names.
+folded characters and of `passage`, one each `stride` characters (every position)
+and one at the end; an item shorter than a window is one. A text is contaminated
+if one of its substrings is within the edit budget of a window: int(rate * size)
+edits, and less by what leaves the q-grams of a short one too few to tell. A
+window with e edits keeps at least length - q + 1 - q * e of its q-grams, on
+diagonals that differ by 2e at most. So the q-grams a text shares are counted in
+overlapping diagonal bands of two such widths, bands that meet the bound stay, and
+an alignment confined to the band and the text decides. This finds exactly the
+texts and items that the definition names.
+
+Windows each COARSE characters are tried first. Where one matches, the passage is
+told by it, and q-grams in it are not counted again; all windows are tried on the
+rest, so each passage has a span, but not each window of it.
 
 Items go to the executors in blocks of bounded size, however large the
 benchmark. Items of fewer than q folded characters match nothing, as do null
@@ -27,7 +33,8 @@ from pyspark.sql import functions as F
 from siltlog.llm.common import documents
 from siltlog.llm.words import claim, pieces
 
-Q, WINDOW, STRIDE, RATE = 10, 80, 20, 0.08
+Q, WINDOW, PASSAGE, STRIDE, RATE = 10, 80, 50, 1, 0.08
+COARSE, PART = 20, 10
 BLOCK_CHARS = 4_000_000
 SPACE, STOP = 32, 0
 
@@ -84,12 +91,13 @@ class Index:
 
     BITS = 22
 
-    def __init__(self, items: list[tuple[int, str]], q: int = Q, window: int = WINDOW, stride: int = STRIDE, rate: float = RATE):
+    def __init__(self, items: list[tuple[int, str]], q: int = Q, window: int = WINDOW, stride: int = STRIDE, rate: float = RATE, passage: int = PASSAGE):
         self.q, self.ids = q, [i for i, _ in items]
         code, starts, _ = fold([t or "" for _, t in items])
         ends = np.append(starts[1:], len(code))[: len(starts)] - 1
         self.code = code
         windows, gram_at, gram_item = [], [], []
+        self.first, self.sizes = np.zeros(len(items), np.int64), np.zeros((2, len(items)), np.int64)
         for k, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
             while a < b and code[a] == SPACE:
                 a += 1
@@ -101,9 +109,16 @@ class Index:
             gram_at.append(np.arange(a, b - q + 1))
             gram_item.append(np.full(n - q + 1, k))
             size = min(n, window)
-            e = min(int(rate * size), (size - q) // q)
-            windows += [(k, s, size, e) for s in sorted({*range(a, b - size + 1, stride), b - size})]
-        self.windows = np.array(windows, np.int64).reshape(-1, 4)
+            self.first[k] = a
+            for kind, size, e in ((0, size, min(int(rate * size), (size - q) // q)), (1, passage, max(0, min(int(rate * passage), (passage - 2 * q) // q)))):
+                if kind == 0 or q <= size < min(n, window):
+                    self.sizes[kind, k] = size
+                    at = np.unique(np.append(np.arange(a, b - size + 1, stride), b - size))
+                    coarse = ((at - a) % max(stride, COARSE) == 0) | (at == b - size)
+                    windows.append(np.stack([np.full(len(at), k), at, np.full(len(at), size), np.full(len(at), e), np.full(len(at), kind), coarse], 1))
+        self.windows = np.concatenate(windows).astype(np.int64) if windows else np.zeros((0, 6), np.int64)
+        numbers = [[np.flatnonzero((self.windows[:, 4] == kind) & (self.windows[:, 5] >= coarse)) for kind in (0, 1)] for coarse in (0, 1)]
+        self.sets = [[(w, self.windows[w, 1]) for w in kinds] for kinds in numbers]  # of all and of coarse ones, by kind, in order of their starts
         gram_at = np.concatenate(gram_at) if gram_at else np.zeros(0, np.int64)
         self.most_edits = int(self.windows[:, 3].max(initial=0))
         self.width = 2 * self.most_edits + 1
@@ -114,7 +129,6 @@ class Index:
         self.item = (np.concatenate(gram_item) if gram_item else gram_at)[order]
         self.seen = np.zeros(1 << self.BITS, bool)
         self.seen[self.hashes >> np.uint64(64 - self.BITS)] = True
-        self.by_item = np.searchsorted(self.windows[:, 0], np.arange(len(items) + 1))
 
     def hits(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(text position, number in self.at) of each shared q-gram."""
@@ -127,46 +141,81 @@ class Index:
         first = np.cumsum(n) - n
         return np.repeat(pos, n), np.arange(n.sum()) - np.repeat(first, n) + np.repeat(a, n)
 
-    def candidates(self, code: np.ndarray) -> np.ndarray:
-        """Rows (window, band) for which enough q-grams lie in one band; a band starts at diagonal band * width."""
+    def banded(self, code: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text position, number in self.at, band, text) of shared q-grams, for bands in which an item and a text share enough; band k starts at diagonal k * width."""
         pos, gram = self.hits(code)
+        doc = np.searchsorted(starts, pos, "right") - 1
         diagonal = pos - self.at[gram] + len(self.code)  # never negative
         band = diagonal // self.width
         span = (len(code) + len(self.code)) // self.width + 2
-        # bands k and k - 1 both reach over two widths; first by item, then, for what is left, by window
-        item = self.item[gram]
-        keys = np.concatenate([item * span + band, item * span + band - (band > 0)])
+        # bands k and k - 1 both reach over two widths
+        twice = np.concatenate([band, band - (band > 0)])
+        keys = (np.tile(self.item[gram] * len(starts) + doc, 2)) * span + twice
         order = np.argsort(keys, kind="stable")
         cut = np.flatnonzero(np.diff(keys[order], prepend=-1))
         count = np.diff(np.append(cut, len(keys)))
         left = order[np.repeat(count >= self.least, count)]
-        keys, left = keys[left], left % max(1, len(pos))
-        item, band, at = keys // span, keys % span, self.at[gram[left]]
-        n = self.by_item[item + 1] - self.by_item[item]
-        window = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.by_item[item], n)
-        band, at = np.repeat(band, n), np.repeat(at, n)
-        start, size = self.windows[window, 1], self.windows[window, 2]
-        inside = (at >= start) & (at + self.q <= start + size)
-        found, count = np.unique(np.stack([window[inside], band[inside]], 1), axis=0, return_counts=True)
+        one = left % max(1, len(pos))
+        return pos[one], gram[one], twice[left], doc[one]
+
+    def candidates(self, gram: np.ndarray, band: np.ndarray, doc: np.ndarray, coarse: int) -> np.ndarray:
+        """Rows (window, band, text) for which enough of these q-grams lie in one band."""
+        item, at = self.item[gram], self.at[gram]
+        out = []
+        for kind, (number, start) in enumerate(self.sets[coarse]):
+            size = self.sizes[kind, item]
+            low = np.searchsorted(start, np.maximum(at + self.q - size, self.first[item]), "left")
+            n = np.where(size > 0, np.maximum(np.searchsorted(start, at, "right") - low, 0), 0)
+            window = number[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
+            place = band * (int(doc.max(initial=0)) + 1) + doc
+            places, place = np.unique(place, return_inverse=True)
+            keys, count = np.unique(window * max(1, len(places)) + np.repeat(place, n), return_counts=True)
+            window, place = keys // max(1, len(places)), places[keys % max(1, len(places))] if len(keys) else keys
+            w = self.windows[window]
+            ok = count >= w[:, 2] - self.q + 1 - self.q * w[:, 3]
+            docs = int(doc.max(initial=0)) + 1
+            out.append(np.stack([window[ok], place[ok] // docs, place[ok] % docs], 1))
+        return np.concatenate(out)
+
+    def plausible(self, code: np.ndarray, starts: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """Those of these (window, band, text) whose whole PART-character parts do not by themselves need more edits than the budget.
+
+        Each part is aligned once for all windows that hold it, in the same band cells: a lower bound.
+        """
+        if not len(found):
+            return found
+        _, place = np.unique(found[:, 1] * len(starts) + found[:, 2], return_inverse=True)
         w = self.windows[found[:, 0]]
-        return found[count >= w[:, 2] - self.q + 1 - self.q * w[:, 3]]
+        begin, end = -(-w[:, 1] // PART), (w[:, 1] + w[:, 2]) // PART
+        n = np.maximum(end - begin, 0)
+        row = np.repeat(np.arange(len(found)), n)
+        part = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)
+        _, one, back = np.unique(place[row] * (len(self.code) // PART + 1) + part, return_index=True, return_inverse=True)
+        edits, _ = self.align(code, starts, part[one] * PART, np.full(len(one), PART), found[row[one], 1], found[row[one], 2])
+        return found[np.bincount(row, edits[back], len(found)) <= w[:, 3]]
+
+    def verify(self, code: np.ndarray, starts: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of these (window, band, text): the fewest edits of the window against a substring of the text, and where that ends."""
+        w = self.windows[found[:, 0]]
+        return self.align(code, starts, w[:, 1], w[:, 2], found[:, 1], found[:, 2])
 
-    def verify(self, code: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of these (window, band): the fewest edits of the window against a substring, and where it ends in the text."""
-        edits, ends = np.full(len(found), 1 << 20), np.zeros(len(found), np.int64)
+    def align(self, code: np.ndarray, starts: np.ndarray, begin: np.ndarray, length: np.ndarray, band: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The fewest edits of these stretches of the items against substrings of these texts in these bands, and where they end."""
+        stops = np.append(starts[1:], len(code))
+        edits, ends = np.full(len(begin), 1 << 20), np.zeros(len(begin), np.int64)
         e = self.most_edits
         breadth = 2 * self.width + 2 * e
-        for a in range(0, len(found), 20_000):
-            part = found[a : a + 20_000]
-            start, size = self.windows[part[:, 0], 1], self.windows[part[:, 0], 2]
-            low = start + part[:, 1] * self.width - len(self.code) - e  # text position of band cell 0 before the first character
+        for a in range(0, len(begin), 20_000):
+            part = slice(a, a + 20_000)
+            start, size = begin[part], length[part]
+            low = start + band[part] * self.width - len(self.code) - e  # text position of band cell 0 before the first character
             cells = np.arange(breadth)
-            cost = np.zeros((len(part), breadth + 1), np.int32)
+            cost = np.zeros((len(start), breadth + 1), np.int32)
             cost[:, -1] = 1 << 20
             for i in range(int(size.max(initial=0))):
                 going = i < size
                 at = low[:, None] + i + cells
-                ok = (at >= 0) & (at < len(code))
+                ok = (at >= starts[doc[part], None]) & (at < stops[doc[part], None])
                 char = np.where(ok, code[np.clip(at, 0, len(code) - 1)], STOP)
                 want = self.code[np.minimum(start + i, len(self.code) - 1)]
                 differ = (char != want[:, None]) + (char == STOP) * (1 << 16)
@@ -175,8 +224,8 @@ class Index:
                 new = np.minimum.accumulate(new - step, 1) + step
                 cost[:, :-1] = np.where(going[:, None], np.minimum(new, 1 << 20), cost[:, :-1])
             best = cost[:, :-1].argmin(1)
-            edits[a : a + len(part)] = cost[np.arange(len(part)), best]
-            ends[a : a + len(part)] = low + size + best
+            edits[part] = cost[np.arange(len(start)), best]
+            ends[part] = low + size + best
         return edits, ends
 
     def search(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
@@ -184,18 +233,29 @@ class Index:
         if not len(self.windows) or not texts:
             return []
         code, starts, at = fold(texts)
-        found = self.candidates(code)
-        edits, ends = self.verify(code, found)
-        w = self.windows[found[:, 0]]
-        ok = edits <= w[:, 3]
-        found, edits, ends, w = found[ok], edits[ok], ends[ok], w[ok]
-        first = at[starts] if len(starts) else starts
+        first = at[starts]
         out = set()
-        for k in range(len(found)):
-            last = max(0, int(ends[k]) - 1)
-            doc = int(np.searchsorted(starts, last, "right")) - 1
-            begin = max(int(starts[doc]), last + 1 - int(w[k, 2]))
-            out.add((doc, int(w[k, 0]), int(at[begin] - first[doc]), int(at[last] - first[doc]) + 1, int(edits[k])))
+        pos, gram, band, doc = self.banded(code, starts)
+        for coarse in (1, 0):
+            found = self.plausible(code, starts, self.candidates(gram, band, doc, coarse))
+            edits, ends = self.verify(code, starts, found)
+            ok = edits <= self.windows[found[:, 0], 3]
+            told: dict[tuple[int, int], list[tuple[int, int]]] = {}
+            for (window, _, k), e, end in zip(found[ok].tolist(), edits[ok].tolist(), ends[ok].tolist(), strict=True):
+                item, _, size = self.windows[window, :3].tolist()
+                last = max(0, end - 1)
+                begin = max(int(starts[k]), last + 1 - size)
+                told.setdefault((k, item), []).append((begin, last + 1))
+                out.add((k, item, int(at[begin] - first[k]), int(at[last] - first[k]) + 1, e))
+            if coarse and told:
+                item = self.item[gram]
+                pair = doc * len(self.ids) + item
+                open_ = np.ones(len(pos), bool)
+                for (k, i), places in told.items():
+                    mine = np.flatnonzero(pair == k * len(self.ids) + i)
+                    for begin, end in set(places):
+                        open_[mine[(pos[mine] >= begin) & (pos[mine] < end)]] = False
+                pos, gram, band, doc = pos[open_], gram[open_], band[open_], doc[open_]
         return sorted(out)
 
 

@@ -74,3 +74,44 @@ def test_rows(spark, monkeypatch):
     assert {r.doc_id for r in d.contaminated(docs, bench).where("contaminated").collect()} == {None, 1, 4}
     assert d.contaminated(docs.limit(0), bench).count() == 0
     assert d.contaminated(docs, bench.limit(0)).where("contaminated").count() == 0
+
+
+def test_quotes_at_every_offset():
+    rng = random.Random(6)
+    item = _fold(_words(rng, 60))[:200]
+    index = d.Index([(0, _words(rng, 30)), (7, item), (8, _words(rng, 9))])
+    for size in (50, 55, 63, 80, 97):
+        texts = [f"{_words(rng, 5)}. {item[a : a + size]}. {_words(rng, 5)}" for a in range(len(item) - size + 1)]
+        assert {doc for doc, k, *_ in index.search(texts) if k == 1} == set(range(len(texts)))
+    assert not index.search([f"{_words(rng, 5)}. {item[a : a + 40]}. {_words(rng, 5)}" for a in range(0, 160, 7)])
+    # a quote beside a longer one of the same item has a span of its own
+    text = item[:100] + " 1 2 3 4 5 6 7 8 9 " * 5 + item[133:187]
+    assert {start > 150 for _, _, start, *_ in index.search([text])} == {True, False}
+
+
+def test_passages_equal_brute_force():
+    rng = random.Random(11)
+    options = {"q": 5, "window": 40, "stride": 1, "rate": 0.1, "passage": 22}
+    items = [(k, _words(rng, rng.randrange(1, 30))) for k in range(8)]
+    index = d.Index(items, **options)
+    wanted = []
+    for _, item in items:
+        t = _fold(item)
+        wanted.append(_windows(item, 5, 40, 1, 0.1) + [(t[s : s + 22], 2) for s in range(len(t) - 21) if 22 < min(len(t), 40)])
+    seen = 0
+    for _ in range(8):
+        texts = []
+        for _ in range(6):
+            t = list(rng.choice(items)[1])
+            a = rng.randrange(len(t) + 1)
+            t = t[a : a + rng.randrange(15, 60)]
+            for _ in range(rng.randrange(5)):
+                if t:
+                    p = rng.randrange(len(t))
+                    t[p : p + rng.randrange(2)] = rng.choice(["", "x", "zz"])
+            texts.append(" ".join([_words(rng, rng.randrange(4)), "".join(t), _words(rng, rng.randrange(4))]))
+        found = {(doc, item) for doc, item, *_ in index.search(texts)}
+        want = {(k, i) for k, t in enumerate(texts) for i in range(len(items)) if any(_edits(w, _fold(t)) <= e for w, e in wanted[i])}
+        assert found == want
+        seen += len(want)
+    assert seen > 20
