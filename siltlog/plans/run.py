@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,7 +54,8 @@ def run(spark: SparkSession, config: Config) -> dict[str, DataFrame]:
     frames, files = ingest_files(spark, config.logs, rules, config.pattern, read_ledger(spark, config.store) if config.timestamps else None, known)
     found = rejected_ips(frames.judged, preload(spark, config.known) if config.known else None)
     fresh_blocks = new_blocked(found, told.where("blocked"))
-    blocked = [r["ip"] for r in fresh_blocks.limit(1000).collect()]  # for the report only
+    told_now = f"{config.store}/new_blocked/{uuid.uuid4().hex}"
+    fresh_blocks.write.parquet(told_now)  # before rejected_ips grows, of which it is the difference
     fresh = without_stored(frames.entries.select(*ENTRY), stored(spark, f"{config.store}/entries_flat", ENTRY_SCHEMA))
     fresh.write.mode("append").parquet(f"{config.store}/entries_flat")
     found.write.mode("append").parquet(f"{config.store}/rejected_ips")
@@ -61,4 +63,4 @@ def run(spark: SparkSession, config: Config) -> dict[str, DataFrame]:
     rejected = rejected_view(spark, config.store)
     if config.save:
         write_blocklist(rejected, config.save)
-    return {"entries": entries_view(spark, config.store), "rejected": rejected, "new_blocked": spark.createDataFrame([(i,) for i in blocked], "ip string"), "files": file_counters(frames.judged)}
+    return {"entries": entries_view(spark, config.store), "rejected": rejected, "new_blocked": spark.read.schema("ip string").parquet(told_now), "files": file_counters(frames.judged)}

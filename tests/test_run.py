@@ -20,3 +20,13 @@ def test_runs_add_up(spark, tmp_path, capsys):
     (tmp_path / "known").write_text("4.4.4.4\n")
     main(["-e", "404", "-y", "-d", rules, "-f", str(tmp_path / "known"), store, str(logs)])
     assert "2 blocked; 1 entries stored" in capsys.readouterr().out
+
+
+def test_all_new_blocked(spark, tmp_path):
+    logs, store, rules = tmp_path / "logs", str(tmp_path / "store"), str(tmp_path / "rules")
+    logs.mkdir()
+    ips = [f"7.{k // 250}.{k % 250}.9" for k in range(1500)]
+    (logs / "access.log").write_text("".join(_line(i, "/wp-admin/") for i in ips[:1200]))
+    assert sorted(r.ip for r in run(spark, Config(str(logs), store, rules))["new_blocked"].collect()) == sorted(ips[:1200])
+    (logs / "access.log.2").write_text("".join(_line(i, "/wp-admin/") for i in ips))
+    assert sorted(r.ip for r in run(spark, Config(str(logs), store, rules, timestamps=True))["new_blocked"].collect()) == sorted(ips[1200:])
