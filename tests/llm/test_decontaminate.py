@@ -115,3 +115,12 @@ def test_passages_equal_brute_force():
         assert found == want
         seen += len(want)
     assert seen > 20
+
+
+def test_neighbours_in_one_band():
+    rng = random.Random(8)
+    short = "ab1cd2ef3gh4"
+    index = d.Index([(0, _words(rng, 60)), (1, short)])
+    for n in range(2, 14):
+        for gap in ("", "x", "xyz 12"):
+            assert {doc for doc, k, *_ in index.search([gap + short] * n) if k == 1} == set(range(n))
