@@ -36,7 +36,7 @@ RUN = r"[A-Za-z0-9+/_=.-]"
 APART = r"\"'(){}\[\]<>,;|"
 BARE_SIGN = r"^[\"'|]*(=|:|:=|=>|is|\|)[\"'|]*$"
 #: Cheap test of a whole text; whatever a rule below can find passes it.
-ANY = r"(?i)pass|pwd|secret|token|credential|key|auth|bearer|AKIA|ASIA|gh[pousr]_|github_pat_|sk_live_|sk_test_|sk-|xox|glpat-|AIza|eyJ|SG\.|hf_|npm_|[0-9][a-z0-9+/_=-]{7}|[a-z0-9+/_=-]{7}[0-9]"
+ANY = r"(?i)pass|pwd|secret|token|credential|key|auth|bearer|AKIA|ASIA|gh[pousr]_|github_pat_|sk_live_|sk_test_|sk-|xox|glpat-|AIza|eyJ|SG\.|hf_|npm_|[0-9][a-z0-9+/_=-]{7}|[a-z0-9+/_=-]{7}[0-9]|[a-z0-9+/_=-]{15}"
 #: Words that make a value readable: common ones, and what stands in for a secret.
 DICTIONARY = (
     "example sample placeholder changeme change dummy fake test testing demo your here insert replace redacted hidden removed none null default "

@@ -55,3 +55,10 @@ def test_all_secrets_of_a_word(spark, trees):
         if r.doc_id not in (4, 5, 7):  # there a value that holds more may be hidden as one
             assert r.redacted == shape.format(*["[REDACTED]"] * len(values))
         assert sum(f.secret for f in r.findings) >= len(values)
+
+
+def test_findings_do_not_depend_on_other_words(spark, trees):
+    word = "XkQmZpLwRtYvBnHs.9"
+    docs = spark.createDataFrame([(1, word), (2, f"{word} the key")], "doc_id long, text string")
+    alone, beside = (r.findings for r in secrets.scan(docs, trees).orderBy("doc_id").collect())
+    assert alone and [f.value_sha256 for f in alone] == [f.value_sha256 for f in beside]
