@@ -70,6 +70,12 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def text_bytes(df: DataFrame, column: str = "text") -> int:
+    """About how large df's texts are: the planner's estimate where it has one (for files, what they take: nothing is read), else their sum."""
+    planned = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return planned if planned < 1 << 60 else df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
+
+
 def settle(spark: SparkSession) -> None:
     """Let go of the shuffle files of steps that are over: Spark deletes them once their plans are collected."""
     gc.collect()

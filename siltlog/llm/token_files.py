@@ -12,6 +12,7 @@ An empty table makes no rows. Further columns of the input are left out.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -19,16 +20,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltlog.llm.common import documents, drop_path, parts, scratch_path, spool
-from siltlog.llm.words import ChunkMemo, claim, pieces
+from siltlog.llm.common import documents, drop_path, parts, text_bytes, scratch_path, spool
+from siltlog.llm.words import ChunkMemo, claim, distinct_chunks, pieces
 
+FILE_BYTES = 128 << 20  # of planned input, a file
 SCHEMA = "row int, doc_id long, ids array<int>"
 #: Characters for which the pattern below equals the tokenizer's own normalizing and splitting.
-_OTHER = re.compile("[^!-~À-ÖØ-öø-ÿ]")
-_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+_OTHER = r"[^!-~À-ÖØ-öø-ÿ]|<\|"
+_OTHER_OR_BLANK = r"[^ \t\n\r!-~À-ÖØ-öø-ÿ]|<\|"
+_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
 
 
 class WordEncoder:
@@ -39,40 +43,49 @@ class WordEncoder:
     whole tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.plain = _is_word_bpe(self.whole)
+        self.plain = _is_word_bpe(json.loads(self.whole.to_str()))
         self.most, self.known = most, {}
 
+    def lowered(self, texts: pa.Array) -> pa.Array:
+        """Texts, in lower case where that changes no id: it makes fewer distinct chunks."""
+        if not self.plain:
+            return texts
+        return pc.if_else(pc.match_substring_regex(texts, _OTHER_OR_BLANK), texts, pc.utf8_lower(texts))
+
     def word(self, word: str) -> list[int]:
-        ids = self.known.get(word)
-        if ids is None:
-            ids = self.known[word] = _tokenize(self.whole, word)
+        if len(self.known) > self.most:
+            self.known.clear()
+        ids = self.known[word] = _tokenize(self.whole.model, word)
         return ids
 
-    def __call__(self, chunks: list[str]) -> list[list[int]]:
-        if len(self.known) > self.most:
-            self.known = {}
-        known, out, rest = self.known, [None] * len(chunks), []
+    def __call__(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all chunks, one after the other, and how many each has."""
+        known, word, out, sizes, rest = self.known, self.word, [], [], []
+        other = pc.match_substring_regex(pa.array(chunks, pa.string()), _OTHER).to_pylist() if self.plain else [True] * len(chunks)
         for k, chunk in enumerate(chunks):
-            low = chunk.lower()
-            ids = known.get(low)
-            if ids is not None:  # a word by itself
-                out[k] = ids
+            if other[k]:
+                rest.append((k, len(out)))
+                sizes.append(0)
                 continue
-            if not self.plain or "<|" in chunk or _OTHER.search(chunk):
-                rest.append(k)
-                continue
-            words = _WORDS.findall(low)
-            out[k] = self.word(words[0]) if len(words) == 1 else [i for w in words for i in self.word(w)]
-        if rest:
-            found = self.whole.encode_batch_fast([chunks[k] for k in rest], add_special_tokens=False)
-            for k, e in zip(rest, found, strict=True):
-                out[k] = e.ids
-        return out
+            before = len(out)
+            for w in _WORDS(chunk.lower()):
+                out += known.get(w) or word(w)
+            sizes.append(len(out) - before)
+        flat, sizes = np.array(out, np.uint32), np.array(sizes, np.int64)
+        if not rest:
+            return flat, sizes
+        # the rest goes in between
+        found = self.whole.encode_batch_fast([chunks[k] for k, _ in rest], add_special_tokens=False)
+        parts, before = [], 0
+        for (k, at), e in zip(rest, found, strict=True):
+            parts += [flat[before:at], np.array(e.ids, np.uint32)]
+            before, sizes[k] = at, len(e.ids)
+        return np.concatenate([*parts, flat[before:]]), sizes
 
 
 #: Byte-level BPE writes a byte as a printable character: itself, or the next one from 256 on.
@@ -81,17 +94,18 @@ _BYTES = dict.fromkeys(_PRINTABLE) | {b: 256 + k for k, b in enumerate(b for b i
 _BYTES = {b: chr(b if c is None else c) for b, c in _BYTES.items()}
 
 
-def _tokenize(tokenizer, word: str) -> list[int]:
+def _tokenize(model, word: str) -> list[int]:
     if not word.isascii():
         word = "".join([_BYTES[b] for b in word.encode()])
-    return [t.id for t in tokenizer.model.tokenize(word)]
+    return [t.id for t in model.tokenize(word)]
 
 
-def _is_word_bpe(tokenizer) -> bool:
-    """Whether it lower-cases and splits by the words pattern, as probes show."""
-    probe = "It's 12 x-RAY's, ÀÉß! don't|a#b"
-    want = [i for c in probe.split() for w in _WORDS.findall(c.lower()) for i in _tokenize(tokenizer, w)]
-    return tokenizer.encode(probe, add_special_tokens=False).ids == want
+def _is_word_bpe(spec: dict) -> bool:
+    """Whether the tokenizer's description says: compose, one blank for blanks, lower case; cut by the words pattern; byte-level BPE."""
+    steps = [(x["type"], x.get("pattern", {}).get("Regex"), x.get("behavior"), x.get("invert"), x.get("add_prefix_space")) for k in ("normalizer", "pre_tokenizer") for x in ((spec[k] or {}).get(f"{k}s") or (spec[k] or {}).get("pretokenizers") or [])]
+    want = [("NFC", None, None, None, None), ("Replace", r"\s+", None, None, None), ("Lowercase", None, None, None, None), ("Split", r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", "Removed", True, None), ("ByteLevel", None, None, None, False)]
+    special = all(t["special"] and t["content"].startswith("<|") for t in spec["added_tokens"])
+    return steps == want and special and spec["model"]["type"] == "BPE" and not spec["model"]["dropout"]
 
 
 @lru_cache(2)
@@ -102,12 +116,14 @@ def _memo(path: str) -> ChunkMemo:
 def _encoder(path: str, end_id: int):
     def run(batches):
         claim("tokens", _memo.cache_clear)
-        memo, end, row = _memo(path), np.array([end_id], "<u4").tobytes(), 0
+        memo, row = _memo(path), 0
         for batch in pieces(batches):
-            found = [x + end for x in memo.ids([t or "" for t in batch.column("text").to_pylist()])]
-            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), "<i4")))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + batch.num_rows, dtype=np.int32)), batch.column("doc_id"), ids], ["row", "doc_id", "ids"])
+            codes, sizes, distinct = distinct_chunks(memo.encode.lowered(pc.fill_null(batch.column("text"), "")))
+            flat, offsets = memo.ids(codes, sizes, distinct)
+            ids = np.insert(flat, offsets[1:], np.uint32(end_id))
+            offsets = (offsets + np.arange(len(offsets))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.view("<i4")))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + batch.num_rows, dtype=np.int32)), batch.column("doc_id"), lists], ["row", "doc_id", "ids"])
             row += batch.num_rows
 
     return run
@@ -116,9 +132,10 @@ def _encoder(path: str, end_id: int):
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, stripe_bytes: int = 16 << 20) -> None:
     """Encode docs(doc_id, text) and write their ids under path, in ascending doc_id order over the files."""
     spark = docs.sparkSession
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("_h"))
+    n_files = max(parts(spark), -(-text_bytes(texts) // FILE_BYTES))
     ranged = (
-        docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("_h"))
-        .repartitionByRange(parts(spark), "doc_id", "_h")
+        texts.repartitionByRange(n_files, "doc_id", "_h")
         .sortWithinPartitions("doc_id", "_h")
     )
     (
@@ -134,7 +151,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """row, doc_id, ids and the file a document lies in; file names sort as ids do."""
+    """row, doc_id, ids and the file a document lies in; the part numbers of files ascend as ids do."""
     return spark.read.schema(SCHEMA).orc(path).select("row", "doc_id", "ids", F.col("_metadata.file_name").alias("file"))
 
 
@@ -154,11 +171,16 @@ def _checksums(batches):
         )
 
 
+def part_number(file: Column) -> Column:
+    """The number in the name of a part file; names alone do not sort by it from 100,000 files on."""
+    return F.regexp_extract(file, r"part-(\d+)", 1).cast("long")
+
+
 def layout(tokens: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of what read_tokens() returns."""
     rows = spool(tokens.mapInArrow(_checksums, "file string, row int, doc_id long, n_tokens long, ids_crc32 long"), "token-rows")
-    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("_n"))
-    files = files.select("file", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("_n")).withColumn("_part", part_number(F.col("file")))
+    files = files.select("file", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part", "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     inner = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return rows.withColumn("_in", inner).join(files, "file").select("doc_id", (F.col("_base") + F.col("_in")).alias("start"), "n_tokens", "ids_crc32")
 

@@ -2,13 +2,15 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 tokenizers = pytest.importorskip("tokenizers")
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from siltlog.llm import token_files  # noqa: E402
-from siltlog.llm.words import ChunkMemo  # noqa: E402
+from siltlog.llm.words import ChunkMemo, distinct_chunks  # noqa: E402
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 ODD = [
@@ -27,7 +29,25 @@ def test_encoder_equals_the_library():
     rng = random.Random(2)
     bits = ["the", "Ing", "É", "ß", "!", "12", "-", "\n", " ", "'s", "un", "ally", "日", "ﬁ", "́", "|", "ÿ"]
     for text in ODD + ["".join(rng.choice(bits) for _ in range(rng.randrange(60))) for _ in range(1500)]:
-        assert np.frombuffer(memo.ids([text])[0], "<u4").tolist() == _want(lib, text)[:-1], text
+        texts = memo.encode.lowered(pa.array([text]))
+        assert memo.ids(*distinct_chunks(texts))[0].tolist() == _want(lib, text)[:-1], text
+    ids, ends = memo.ids(*distinct_chunks(pa.array([*ODD, None])))
+    assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == [_want(lib, t)[:-1] for t in [*ODD, None]]
+
+
+def test_a_full_memo_starts_anew():
+    lib, memo = tokenizers.Tokenizer.from_file(PATH), ChunkMemo(token_files.WordEncoder(PATH, most=50), bits=8)
+    rng = random.Random(4)
+    for _ in range(60):
+        texts = [" ".join("".join(rng.choice("aeidnts'-É1") for _ in range(rng.randrange(1, 7))) for _ in range(rng.randrange(12))) + " " + "z" * rng.choice([0, 64, 65, 300]) for _ in range(8)]
+        ids, ends = memo.ids(*distinct_chunks(pa.array(texts)))
+        assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == [_want(lib, t)[:-1] for t in texts]
+
+
+def test_part_numbers_order_files(spark):
+    names = [f"part-{k:05d}-x.c000.orc" for k in (99_999, 100_000, 7, 10_000, 100_001)]
+    rows = spark.createDataFrame([(n,) for n in names], "file string").orderBy(token_files.part_number(F.col("file"))).collect()
+    assert [int(r.file.split("-")[1]) for r in rows] == [7, 10_000, 99_999, 100_000, 100_001]
 
 
 def test_files_round_trip(spark, tmp_path):
