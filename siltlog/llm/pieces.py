@@ -5,11 +5,16 @@ are sorted, which lays their trie out depth-first: a word starts from the forwar
 scores of the prefix it has in common with the word before it, and only the rest
 of its positions are computed. Two kinds of model are covered:
 
-* unigram: the forward score of a position is the best sum of piece scores;
+* unigram: every piece is an edge, and the forward score of a position is the best
+  sum of piece scores;
 * BPE: an edge is allowed only after a piece beside which it would stay unmerged.
   A sequence is what merging gives exactly if each two neighbours are such a
   pair, so one path is left at each position, and the ids equal the library's.
 
+The trie of pieces is walked along the word (with a step to the longest end that
+begins a piece where it has no child), so a position looks only at pieces that
+end there.
+
 Both hold for every prefix on its own, which is what makes sharing exact.
 Characters outside the vocabulary become byte pieces, or the unknown id.
 
@@ -24,14 +29,16 @@ import hashlib
 import re
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltlog.llm.common import documents
-from siltlog.llm.words import claim
+from siltlog.llm.words import ChunkMemo, claim, numbered
 from siltlog.llm.words import pieces as slices
 
 MARK = "▁"
@@ -60,127 +67,151 @@ class PieceModel:
         self.scores = {p.piece: p.score for p in proto.pieces if p.type in (NORMAL, USER)}
         self.unknown = next(i for i, p in enumerate(proto.pieces) if p.type == UNKNOWN)
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == BYTE}
-        self.longest = max(map(len, self.ids))
         self.lowest = min(self.scores.values()) - 10
         self.table = [p.piece.replace(MARK, " ").encode() if p.type in (NORMAL, USER) else b"" for p in proto.pieces]
         for b, i in self.bytes.items():
             self.table[i] = bytes([b])
         self.table[self.unknown] = " ⁇ ".encode()
-        self.known: dict[str, bytes] = {}
-        self.beside: dict[tuple[str, str], bool] = {}
+        self.blob = pa.array(self.table, pa.binary())
         self.most = most
+        self.names: list[str] = [p.piece for p in proto.pieces]  # characters outside the vocabulary come after, as they are met
+        self.size = len(self.names)
+        self.lengths = list(map(len, self.names))
+        self.value = [p.score for p in proto.pieces]
+        self.outside: dict[str, int] = {}
+        self.beside: dict[int, bool] = {}
+        self.edges = dict(self.ids)
         if self.kind == BPE:  # pieces that merging never arrives at make no edges
-            self.edges = {p for p in self.ids if len(p) == 1 or self.merge(p) == [p]}
-        else:
-            self.edges = set(self.ids)
+            self.edges = {p: i for p, i in self.ids.items() if len(p) == 1 or self.merge(p) == [p]}
+        self.states = {p[:k]: -1 for p in self.edges for k in range(len(p) + 1)} | {"": 0}
+        self.alphabet = {c for p in self.edges for c in p}
+        self.texts, self.steps, self.ends = [""], [{}], [()]
+        self.memo = ChunkMemo(self._encode_words)
 
     def merge(self, text: str) -> list[str]:
         """Merge the best-scored neighbours, leftmost first among equals, until none is a piece."""
-        parts, scores = list(text), self.scores
-        while len(parts) > 1:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                s = scores.get(parts[k] + parts[k + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, k
-            if at < 0:
-                break
+        parts, scores, none = list(text), self.scores, float("-inf")
+        pairs = [scores.get(a + b, none) for a, b in zip(parts, parts[1:])]
+        while pairs and (best := max(pairs)) != none:
+            at = pairs.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del pairs[at]
+            if at:
+                pairs[at - 1] = scores.get(parts[at - 1] + parts[at], none)
+            if at < len(pairs):
+                pairs[at] = scores.get(parts[at] + parts[at + 1], none)
         return parts
 
-    def stays(self, left: str, right: str) -> bool:
+    def stays(self, left: int, right: int) -> bool:
         """Whether merging leaves these two pieces as they are, side by side."""
-        key = (left, right)
-        found = self.beside.get(key)
-        if found is None:
-            if len(self.beside) > self.most:
-                self.beside.clear()
-            found = self.beside[key] = self.merge(left + right) == [left, right]
+        if len(self.beside) > self.most:
+            self.beside.clear()
+        a, b = self.names[left], self.names[right]
+        found = self.beside[left << 24 | right] = self.merge(a + b) == [a, b]
         return found
 
-    def _forward_bpe(self, word: str, start: int, last: list) -> None:
-        edges, stays, longest = self.edges, self.stays, self.longest
-        for i in range(start, len(word) + 1):
-            for k in range(max(0, i - longest), i):
-                piece = word[k:i]
-                if piece in edges:
-                    before = last[k]
-                    if before is None or stays(before, piece):
-                        last.append(piece)
-                        break
-            else:
-                last.append(word[i - 1])
-
-    def _forward_unigram(self, word: str, start: int, best: list, last: list) -> None:
-        edges, scores = self.edges, self.scores
+    def _step(self, state: int, char: str) -> int:
+        """The state after one more character: the longest end of the text so far that begins a piece."""
+        if char not in self.alphabet:
+            return 0
+        text = self.texts[state] + char
+        while text not in self.states:
+            text = text[1:]
+        found = self.states[text]
+        if found < 0:
+            found = self.states[text] = len(self.texts)
+            self.texts.append(text)
+            self.steps.append({})
+            self.ends.append(tuple((self.edges[text[k:]], len(text) - k) for k in range(len(text)) if text[k:] in self.edges))
+        self.steps[state][char] = found
+        return found
+
+    def _outside(self, char: str) -> int:
+        if char not in self.outside:
+            self.outside[char] = len(self.names)
+            self.names.append(char)
+            self.lengths.append(1)
+            self.value.append(self.lowest)
+        return self.outside[char]
+
+    def _forward(self, word: str, start: int, states: list, best: list, last: list) -> None:
+        """Forward scores and last pieces of the positions of a word from start on."""
+        steps, ends, value, beside, merging = self.steps, self.ends, self.value, self.beside, self.kind == BPE
+        state = states[start - 1]
         for i in range(start, len(word) + 1):
-            top, piece = best[i - 1] + self.lowest, word[i - 1]
-            for k in range(max(0, i - self.longest), i):
-                p = word[k:i]
-                if p in edges and (s := best[k] + scores[p]) > top:
-                    top, piece = s, p
+            char = word[i - 1]
+            state = steps[state].get(char) or self._step(state, char)
+            piece = -1
+            for p, n in ends[state]:
+                before = last[i - n]
+                if merging and before >= 0:
+                    ok = beside.get(before << 24 | p)
+                    if not (self.stays(before, p) if ok is None else ok):
+                        continue
+                score = best[i - n] + value[p]
+                if piece < 0 or score > top:
+                    top, piece = score, p
+                if merging:  # no other edge can be allowed
+                    break
+            if piece < 0:
+                piece = self._outside(char)
+                top = best[i - 1] + self.lowest
+            states.append(state)
             best.append(top)
             last.append(piece)
 
     def segment(self, words: list[str]):
-        """The pieces of each of these sorted, distinct words."""
-        best, last, before = [0.0], [None], ""
+        """The piece numbers of each of these sorted, distinct words."""
+        states, best, last, before, lengths = [0], [0.0], [-1], "", self.lengths
         for word in words:
             n, most = 0, min(len(word), len(before))
             while n < most and word[n] == before[n]:
                 n += 1
-            del last[n + 1 :], best[n + 1 :]
-            if self.kind == BPE:
-                self._forward_bpe(word, n + 1, last)
-            else:
-                self._forward_unigram(word, n + 1, best, last)
+            del states[n + 1 :], best[n + 1 :], last[n + 1 :]
+            self._forward(word, n + 1, states, best, last)
             before, i, out = word, len(word), []
             while i:
-                out.append(last[i])
-                i -= len(last[i])
-            yield out[::-1]
-
-    def numbers(self, parts: list[str]) -> list[int]:
+                p = last[i]
+                out.append(p)
+                i -= lengths[p]
+            out.reverse()
+            yield out
+
+    def numbers(self, parts: list[int]) -> list[int]:
+        """Ids of pieces: those of the vocabulary are their own, others become bytes, or a run of them the unknown id."""
         out = []
         for k, p in enumerate(parts):
-            if (i := self.ids.get(p)) is not None:
-                out.append(i)
+            if p < self.size:
+                out.append(p)
             elif self.bytes:
-                out += [self.bytes[b] for b in p.encode()]
-            elif not (k and out and parts[k - 1] not in self.ids):  # a run of unknowns is one
+                out += [self.bytes[b] for b in self.names[p].encode()]
+            elif not (k and parts[k - 1] >= self.size):
                 out.append(self.unknown)
         return out
 
-    def _encode_words(self, words: set[str]) -> None:
-        ordered = sorted(words)
-        for word, parts in zip(ordered, self.segment(ordered), strict=True):
-            self.known[word] = np.array(self.numbers(parts), "<u4").tobytes()
-
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of texts as little-endian 32-bit integers."""
-        if len(self.known) > self.most:
-            self.known = {}
-        split, new = [], set()
-        for t in texts:
-            if not t:
-                split.append([])
-            elif "\n" in t or "  " in t or MARK in t or t[0] == " " or t[-1] == " ":
-                split.append(_SEGMENT.findall(MARK + t.replace(" ", MARK)))
-            else:
-                split.append((MARK + t.replace(" ", " " + MARK)).split(" "))
-            new.update(split[-1])
-        new = new.difference(self.known)
-        if new:
-            self._encode_words(new)
-        known = self.known
-        out = [b"".join([known[w] for w in x]) for x in split]
-        for w in new:
-            if len(w) > 64:
-                del known[w]
-        return out
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        order = sorted(range(len(words)), key=words.__getitem__)
+        found: list = [None] * len(words)
+        for k, parts in zip(order, self.segment([words[k] for k in order]), strict=True):
+            found[k] = parts if not self.outside or max(parts) < self.size else self.numbers(parts)
+        return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+
+    def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of texts without nulls, and where each text starts (and the last ends)."""
+        return self.memo.ids(*_marked_words(texts))
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.encode_batch([text])[0], "<u4").tolist()
+        return self.encode_texts(pa.array([text]))[0].tolist()
+
+    def decode_texts(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes | memoryview]:
+        """UTF-8 of the texts of ids that start, and end, at these places."""
+        joined = self.blob.take(pa.array(ids))
+        _, at, data = joined.buffers()
+        at = np.frombuffer(at, "<i4", len(ids) + 1, 0)[ends].tolist() if len(ids) else [0] * len(ends)
+        data, out = memoryview(data or b""), []
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            out.append(data[a + 1 : b] if data[a : a + 1] == b" " else data[a:b])
+        return out
 
     def decode(self, ids) -> str:
         table = self.table
@@ -194,25 +225,39 @@ def load(path: str) -> PieceModel:
         return PieceModel(f.read())
 
 
+def _marked_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """numbered() for the marked words of texts: a word with the marks before it, a line end, or marks with no word after."""
+    odd = pc.match_substring_regex(texts, f"  |^ |{MARK}").to_numpy(zero_copy_only=False)
+    cut = next(c for c in map(chr, range(0x110000)) if c not in f"\n{MARK}" and not pc.any(pc.match_substring(texts, c)).as_py())
+    marked = pc.replace_substring(texts, " ", cut + MARK)
+    marked = pc.binary_join_element_wise(pc.if_else(pc.equal(texts, ""), "", MARK), marked, "")
+    marked = pc.replace_substring(marked, "\n", f"{cut}\n{cut}")
+    if odd.any():
+        own = [cut.join(_SEGMENT.findall(MARK + t.replace(" ", MARK))) for t in texts.filter(pa.array(odd)).to_pylist()]
+        marked = pc.replace_with_mask(marked, pa.array(odd), pa.array(own, marked.type))
+    return numbered(pc.split_pattern(marked, cut))
+
+
 def _encoder(path: str):
     def run(batches):
         claim("pieces", load.cache_clear)
         model = load(path)
         for batch in slices(batches):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            found = model.encode_batch(texts)
-            flat = np.frombuffer(b"".join(found), "<i4")
-            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype(np.int32)
-            ids = flat.tolist()
-            decoded = [model.decode(ids[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            texts = pc.fill_null(batch.column("text"), "")
+            flat, ends = model.encode_texts(texts)
+            raw = [x.as_buffer() for x in texts.cast(pa.binary())]
+            decoded = model.decode_texts(flat, ends)
+            same = [d == memoryview(r) for d, r in zip(decoded, raw, strict=True)]
+            decoded = [d if s else bytes(d).decode("utf-8", "replace").encode() for d, s in zip(decoded, same, strict=True)]
+            data, at = memoryview(flat.astype("<u4")).cast("B"), (4 * ends).tolist()
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
-                    pa.array(np.diff(offsets).astype(np.int64)),
-                    pa.array([zlib.crc32(x) for x in found], pa.int64()),
-                    pa.array([hashlib.sha256(d.encode()).hexdigest() for d in decoded]),
-                    pa.array([d == t for d, t in zip(decoded, texts, strict=True)]),
+                    pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.view("<i4"))),
+                    pa.array(np.diff(ends).astype(np.int64)),
+                    pa.array([zlib.crc32(data[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.int64()),
+                    pa.array([hashlib.sha256(d).hexdigest() for d in decoded]),
+                    pa.array(same, pa.bool_()),
                 ],
                 ["doc_id", "ids", "n_pieces", "ids_crc32", "decoded_sha256", "round_trip"],
             )
