@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +16,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only a session without one gets a local folder (tests)."""
+    """The folder all executors share. Only a local session without one gets a folder of its own (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="siltlog-")
         spark.sparkContext.setCheckpointDir(found)
     elif spark.sparkContext.getCheckpointDir() is None:
@@ -47,18 +49,57 @@ def spool(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8MB"):
-    """While it lasts, Python workers get smaller Arrow batches: for jobs whose rows are large."""
-    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
-    before = {k: spark.conf.get(k) for k in wanted}
-    try:
-        for k, v in wanted.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+class Scratch:
+    """Tables in the shared folder, by name, to be dropped after their last reader."""
+
+    def __init__(self, spark: SparkSession, tag: str):
+        self.spark, self.tag, self.paths = spark, tag, {}
+
+    def write(self, name: str, df: DataFrame) -> DataFrame:
+        self.drop(name)
+        path = self.paths[name] = scratch_path(self.spark, f"{self.tag}-{name}")
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            if name in self.paths:
+                drop_path(self.spark, self.paths.pop(name))
+
+
+#: Arrow batches of at most so many rows and bytes bound what a Python worker holds.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches, for rows may hold long texts; results are lazy, so it stays so."""
+    for k, most in BATCHES.items():
+        now = spark.conf.get(k)
+        size = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(str(now)))
+        if size <= 0 or size > most:
+            spark.conf.set(k, str(most))
+
+
+class Sieve:
+    """A bit for each hash of some keys, in a table of at most MOST / 64 rows: which rows cannot be among them, without a shuffle."""
+
+    MOST = 1 << 25
+
+    def __init__(self, scratch: Scratch, name: str, keys: DataFrame):
+        n = keys.count()
+        self.size = 1 << min(max(12, (32 * n).bit_length()), self.MOST.bit_length() - 1)
+        placed = keys.select(self.place(keys.columns).alias("_at"))
+        bits = placed.selectExpr("_at div 64 as _word", "shiftleft(1L, cast(_at % 64 as int)) as _bit").groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+        self.bits = scratch.write(name, bits)
+
+    def place(self, columns: list[str]) -> Column:
+        return F.pmod(F.xxhash64(*columns), F.lit(self.size))
+
+    def split(self, df: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+        """(rows that may be among the keys, rows that are not); columns are those of the keys, in their order."""
+        placed = df.withColumn("_at", self.place(columns)).join(F.broadcast(self.bits), F.expr("_at div 64 = _word"), "left")
+        there = F.expr("coalesce(_bits & shiftleft(1L, cast(_at % 64 as int)), 0L) <> 0")
+        return placed.where(there).select(*[placed[c] for c in df.columns]), placed.where(~there).select(*[placed[c] for c in df.columns])
 
 
 def fold(doc_id: Column, k: int) -> Column:

@@ -2,48 +2,49 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
-_NOT_BLANK = re.compile(rb"[^\x20\x09-\x0D]+")
+from siltlog.llm.words import numbered
+
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class Shingler:
-    """Distinct hashes of runs of `size` words; hashes of words seen lately are kept, up to a bound.
+    """Distinct hashes of runs of `size` words.
 
     Words are runs of characters other than blank and U+0009 to U+000D, with
     A-Z lower-cased. Fewer words than `size` make one shingle; no words, none.
     """
 
-    def __init__(self, size: int, most: int = 200_000):
-        self.size, self.most, self.known = size, most, {}
-
-    def sets(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
-        new = set()
-        for x in split:
-            new.update(x)
-        if len(self.known) > self.most:
-            self.known = {}
-        known, digest = self.known, xxhash.xxh3_64_intdigest
-        known.update([(w, digest(w)) for w in new.difference(known)])
-        out = []
-        for x in split:
-            h = np.array([known[w] for w in x], np.uint64)
-            n = min(self.size, len(h))
-            if n == 0:
-                out.append(h)
-                continue
-            s = np.full(len(h) - n + 1, n, np.uint64)
-            for k in range(n):
-                s = (s ^ h[k : k + len(s)]) * _A
-                s ^= s >> np.uint64(32)
-            out.append(np.unique(s * _B))
+    def __init__(self, size: int):
+        self.size = size
+
+    def sets(self, texts: pa.Array) -> list[np.ndarray]:
+        """Sorted hashes of the shingles of each text; a null text has none."""
+        codes, sizes, distinct = numbered(pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, ""))))
+        digest = xxhash.xxh3_64_intdigest
+        h = np.array([digest(w) for w in distinct.cast(pa.binary()).to_pylist()], np.uint64)[codes] if len(codes) else np.zeros(0, np.uint64)
+        ends, out = np.concatenate([[0], np.cumsum(sizes)]).tolist(), []
+        runs = self._mix([h[k : len(h) - self.size + 1 + k] for k in range(self.size)]) if len(h) >= self.size else h[:0]
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            if b - a >= self.size:
+                s = np.sort(runs[a : b - self.size + 1])
+                out.append(s[np.append(True, s[1:] != s[:-1])])
+            else:
+                out.append(self._mix([h[k : k + 1] for k in range(a, b)]) if b > a else h[:0])
         return out
 
+    @staticmethod
+    def _mix(words: list[np.ndarray]) -> np.ndarray:
+        s = np.full(len(words[0]), len(words), np.uint64)
+        for h in words:
+            s = (s ^ h) * _A
+            s ^= s >> np.uint64(32)
+        return s * _B
+
 
 class Signer:
     """Minima of `count` universal hash functions over a set, as 32-bit numbers."""

@@ -1,7 +1,9 @@
 import random
 import re
 
+from siltlog.llm import components as graph
 from siltlog.llm import near_dedup
+from siltlog.llm.common import Scratch
 from siltlog.llm.components import components
 
 
@@ -26,7 +28,6 @@ def _want(rows, size):
 
 
 def test_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "SMALL", 6)
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
     rng = random.Random(8)
     rows, hot = [], [f"w{rng.randrange(400)}" for _ in range(60)]
@@ -48,16 +49,33 @@ def test_equals_brute_force(spark, monkeypatch):
         assert all(r.kept == (r.doc_id == r.component_id) for r in found)
 
 
+def test_one_bucket_of_many_members(spark):
+    rng = random.Random(3)
+    hot = [f"w{k}" for k in range(50)]
+    rows = []
+    for k in range(5000):
+        words = list(hot)
+        for _ in range(rng.randrange(1, 4)):
+            words[rng.randrange(50)] = f"x{k}y{rng.randrange(9)}"
+        rows.append((k + 1, " ".join(words)))
+    rows.append((0, " ".join(hot)))
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=1).collect()
+    sets = {i: set(t.split()) for i, t in rows}
+    near = {i for i, s in sets.items() if 100 * len(s & set(hot)) >= 80 * len(s | set(hot))}
+    assert {r.doc_id for r in found if r.component_id == 0} >= near and len(near) > 4000
+
+
 def test_empty(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
+    monkeypatch.setattr(graph, "HELD", 4)  # else partitions as small as these join up all that they hold
     rng = random.Random(1)
     edges = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 140)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)] + [(400, 400)]
     comp = {n: n for e in edges for n in e}
     for _ in range(100):
         for a, b in edges:
             comp[a] = comp[b] = min(comp[a], comp[b])
-    found = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    found = {r.node: r.root for r in components(Scratch(spark, "test"), "found", spark.createDataFrame(edges, "u long, v long")).collect()}
     assert found == {n: c for n, c in comp.items() if n != c}
