@@ -3,8 +3,9 @@
 Strings are joined, each followed by END, and taken as one cyclic text. Shards
 are sorted on their own; merging never sorts suffixes again: the interleave of
 the shards' rows is refined round by round. After round k it is the order by the
-first k bytes, and rows that agree in them form one block, so blocks split
-exactly where the common prefix ends.
+first k bytes, and rows that agree in them form one block. Blocks only ever split,
+so the round in which one begins is the common prefix with the row before, and
+the intervals of rows between shorter common prefixes are the repeated strings.
 """
 
 from __future__ import annotations
@@ -45,8 +46,9 @@ def transform(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Merge shard transforms up to `depth` bytes of context.
 
-    Returns the row of the joined transforms that stands at each place, and
-    whether a block of rows with the same first `depth` bytes begins there.
+    Returns the row of the joined transforms that stands at each place, and the
+    common prefix of that row and the one before it (0 for the first), up to
+    `depth`: the round in which a block begins tells where its prefix ends.
     """
     chars, n = np.concatenate(transforms), sum(map(len, transforms))
     before = np.empty(n, np.int32)  # the row, in its shard, of the rotation that begins one byte earlier
@@ -54,14 +56,17 @@ def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndar
     for t in transforms:
         before[base + np.argsort(t, kind="stable")] = np.arange(base, base + len(t), dtype=np.int32)
         base += len(t)
-    block, rows, begins = np.zeros(n, np.int32), np.arange(n, dtype=np.int32), np.zeros(n, bool)
-    for _ in range(depth):
+    block, rows = np.zeros(n, np.int32), np.arange(n, dtype=np.int32)
+    common = np.full(n, depth, np.int32)
+    common[:1] = 0
+    for k in range(depth):
         here = chars[rows]
         order = np.argsort(here, kind="stable")
         here, block, rows = here[order], block[order], before[rows[order]]
         begins = np.ones(n, bool)
         begins[1:] = (here[1:] != here[:-1]) | (block[1:] != block[:-1])
+        common[begins & (common > k)] = k
         block = np.cumsum(begins, dtype=np.int32)
         if begins.all():
             break
-    return rows, begins
+    return rows, common

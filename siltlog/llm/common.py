@@ -49,6 +49,10 @@ def spool(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Makes Spark delete the shuffle files of a query as it ends; what is written needs them no more.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables in the shared folder, by name, to be dropped after their last reader."""
 
@@ -58,7 +62,12 @@ class Scratch:
     def write(self, name: str, df: DataFrame) -> DataFrame:
         self.drop(name)
         path = self.paths[name] = scratch_path(self.spark, f"{self.tag}-{name}")
-        df.write.option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(CLEANUP)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

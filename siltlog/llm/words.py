@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 
@@ -129,6 +130,40 @@ class Numbers:
         return out, np.concatenate([*fresh, long]).astype(np.int64)
 
 
+class RowMemo:
+    """Rows of arrays for strings; make maps a list of strings to arrays with a row for each."""
+
+    def __init__(self, make, bits: int = 20):
+        self.make, self.numbers, self.arrays = make, Numbers(bits), None
+
+    def rows(self, distinct: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The row of each of these distinct strings, and the arrays."""
+        if self.numbers.full(len(distinct)):
+            self.numbers.reset()
+            self.arrays = None
+        at, new = self.numbers.look(distinct)
+        arrays = self.arrays
+        if len(new) or arrays is None:
+            more = self.make(distinct.take(pa.array(new)).to_pylist())
+            arrays = list(more) if arrays is None else [np.concatenate(x) for x in zip(arrays, more, strict=True)]
+            self.arrays = [x[: self.numbers.count] for x in arrays]
+        return at, arrays
+
+
+_LIBC: list = []
+
+
+def trim() -> None:
+    """Give freed memory back to the system: a worker waits for its next task with what it really holds."""
+    if not _LIBC:
+        try:
+            _LIBC.append(ctypes.CDLL(None).malloc_trim)
+        except (AttributeError, OSError):  # another C library
+            _LIBC.append(lambda _: None)
+    pa.default_memory_pool().release_unused()
+    _LIBC[0](0)
+
+
 class ChunkMemo:
     """Ids of strings as 32-bit integers; encode maps a list of strings to their ids, one after the other, and how many each has."""
 
@@ -159,7 +194,7 @@ class ChunkMemo:
 
 
 def pieces(batches, limit: int = 4_000_000):
-    """Slices of Arrow batches whose texts hold about `limit` bytes at most (or one row)."""
+    """Slices of Arrow batches whose texts hold about `limit` bytes at most (or one row); memory is trimmed after the last."""
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         start = 0
@@ -168,3 +203,4 @@ def pieces(batches, limit: int = 4_000_000):
             end = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
             yield batch.slice(start, end - start)
             start = end
+    trim()

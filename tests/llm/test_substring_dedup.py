@@ -11,12 +11,12 @@ def test_transform_and_merge():
     for _ in range(30):
         shards = [b"".join(bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 30))) + b"\xff" for _ in range(rng.randrange(1, 5))) for _ in range(3)]
         done = [bwt.transform(np.frombuffer(s, np.uint8)) for s in shards]
-        rows, begins = bwt.merge([t for t, _ in done], 6)
+        rows, common = bwt.merge([t for t, _ in done], 6)
         heads = [(s * 9)[o : o + 6] for s, (_, order) in zip(shards, done) for o in order.tolist()]
         merged = [heads[r] for r in rows.tolist()]
         assert sorted(rows.tolist()) == list(range(len(heads))) and merged == sorted(heads)
-        if not begins.all():
-            assert begins.tolist() == [k == 0 or merged[k] != merged[k - 1] for k in range(len(merged))]
+        prefix = lambda a, b: next((k for k in range(6) if a[k] != b[k]), 6)
+        assert common.tolist() == [0] + [prefix(a, b) for a, b in zip(merged, merged[1:])]
 
 
 def _want(rows, length):
@@ -37,7 +37,7 @@ def _want(rows, length):
     return sorted(out)
 
 
-def test_equals_brute_force(spark):
+def test_equals_brute_force(spark, monkeypatch):
     rng = random.Random(6)
     words = lambda n: " ".join(rng.choice(["the", "ça", "alpha", "beta", "x", "oméga", "of"]) + str(rng.randrange(40)) for _ in range(n))
     passages = [words(rng.randrange(8, 40)) for _ in range(8)]
@@ -53,10 +53,11 @@ def test_equals_brute_force(spark):
     rows += [(5_000_000, "a" * 400), (5_000_001, "a" * 399 + "b"), (5_000_002, "é" * 100), (1, "é" * 99 + "e")]
     rows += [rows[0], rows[3], (None, rows[5][1]), (None, "short"), (6, None), (7, ""), (rows[7][0], rows[8][1])]
     docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, tid int, first int")
-    for length, hot in ((50, 4096), (50, 3), (24, 10)):
-        found = substring_dedup.removed_repeats(docs, length=length, hot=hot).collect()
+    monkeypatch.setattr(substring_dedup, "MERGED", 500)
+    for length, hot, local in ((50, 4096, 64), (50, 3, 64), (50, 4096, 2), (24, 10, 5)):
+        found = substring_dedup.removed_repeats(docs, length=length, hot=hot, local=local).collect()
         got = sorted((r.doc_id is not None, r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found)
-        assert got == _want(rows, length), (length, hot)
+        assert got == _want(rows, length), (length, hot, local)
 
 
 def test_empty(spark):
