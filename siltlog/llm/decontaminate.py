@@ -25,17 +25,20 @@ clean ones.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltlog.llm.common import documents
+from siltlog.llm.common import Scratch, documents, small_batches
 from siltlog.llm.words import claim, pieces
 
 Q, WINDOW, PASSAGE, STRIDE, RATE = 10, 80, 50, 1, 0.08
 COARSE, PART = 20, 10
 BLOCK_CHARS = 4_000_000
+HITS = 1_000_000  # shared q-grams that are looked at together
 SPACE, STOP = 32, 0
 
 
@@ -86,6 +89,13 @@ def gram_hashes(code: np.ndarray, q: int) -> np.ndarray:
     return h * np.uint64(0xD6E8FEB86659FD93)
 
 
+def _within(points: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
+    """Which points lie in one of these spans (begin, end)."""
+    begins, ends = (np.array(x) for x in zip(*sorted(set(spans)), strict=True))
+    at = np.searchsorted(begins, points, "right") - 1
+    return (at >= 0) & (points < np.maximum.accumulate(ends)[np.maximum(at, 0)])
+
+
 class Index:
     """Windows and q-grams of a block of items."""
 
@@ -130,20 +140,32 @@ class Index:
         self.seen = np.zeros(1 << self.BITS, bool)
         self.seen[self.hashes >> np.uint64(64 - self.BITS)] = True
 
-    def hits(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(text position, number in self.at) of each shared q-gram."""
+    def places(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions of q-grams that items hold, and where in self.at those of each begin and end."""
         h = gram_hashes(code, self.q)
         pos = np.flatnonzero(self.seen[h >> np.uint64(64 - self.BITS)])
         a = np.searchsorted(self.hashes, h[pos], "left")
         b = np.searchsorted(self.hashes, h[pos], "right")
-        n = b - a
-        pos, a, n = pos[n > 0], a[n > 0], n[n > 0]
-        first = np.cumsum(n) - n
-        return np.repeat(pos, n), np.arange(n.sum()) - np.repeat(first, n) + np.repeat(a, n)
-
-    def banded(self, code: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        return pos[b > a], a[b > a], b[b > a]
+
+    def exact(self, code: np.ndarray) -> dict[int, list[int]]:
+        """By item: starts of unedited windows in these texts (of all texts that hold a run of one character, these are very many)."""
+        found: dict[int, set] = {}
+        for size in np.unique(self.windows[:, 2]).tolist():
+            mine = self.windows[self.windows[:, 2] == size]
+            of_items, of_texts = gram_hashes(self.code, size)[mine[:, 1]], gram_hashes(code, size)
+            pairs = np.unique(np.stack([of_items, mine[:, 0].astype(np.uint64)], 1), axis=0)
+            pos = np.flatnonzero(np.isin(of_texts, pairs[:, 0]))
+            a, b = (np.searchsorted(pairs[:, 0], of_texts[pos], side) for side in ("left", "right"))
+            place = np.arange((b - a).sum()) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + np.repeat(a, b - a)
+            for item in np.unique(pairs[place, 1]).tolist():
+                found.setdefault(int(item), set()).update((p, size) for p in np.repeat(pos, b - a)[pairs[place, 1] == item].tolist())
+        return {item: sorted(x) for item, x in found.items()}
+
+    def banded(self, code: np.ndarray, starts: np.ndarray, places: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(text position, number in self.at, band, text) of shared q-grams, for bands in which an item and a text share enough; band k starts at diagonal k * width."""
-        pos, gram = self.hits(code)
+        pos, a, b = places
+        pos, gram = np.repeat(pos, b - a), np.arange((b - a).sum()) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + np.repeat(a, b - a)
         doc = np.searchsorted(starts, pos, "right") - 1
         diagonal = pos - self.at[gram] + len(self.code)  # never negative
         band = diagonal // self.width
@@ -229,13 +251,59 @@ class Index:
         return edits, ends
 
     def search(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
-        """(text number, item number, start, end, edits) of each matching window, positions in code points of the text."""
+        """(text number, item number, start, end, edits) of each matching window, positions in code points of the text.
+
+        At most about HITS shared q-grams are looked at together: texts that repeat
+        what items repeat are first rid of the unedited windows that they hold, then
+        cut into stretches that overlap by more than a window.
+        """
         if not len(self.windows) or not texts:
             return []
         code, starts, at = fold(texts)
-        first = at[starts]
+        first, out = at[starts], set()
+        places = pos, a, b = self.places(code)
+        if (b - a).sum() <= HITS:
+            return sorted(self._search(code, starts, at, first, np.arange(len(texts)), places))
+        for item, found in self.exact(code).items():
+            told = -1
+            for p, size in found:
+                if p >= told:  # spans that do not overlap
+                    k, told = int(np.searchsorted(starts, p, "right")) - 1, p + size
+                    out.add((k, item, int(at[p] - first[k]), int(at[told - 1] - first[k]) + 1, 0))
+            open_ = ~((self.item[a] == item) & (self.item[b - 1] == item) & _within(pos, [(p, p + size) for p, size in found]))
+            pos, a, b = pos[open_], a[open_], b[open_]
+        # stretches of texts, and groups of them
+        reach = 2 * (int(self.windows[:, 2].max()) + self.most_edits + self.q)
+        stops, groups, total = np.append(starts[1:], len(code)), [[]], 0
+        load = np.concatenate([[0], np.cumsum(np.bincount(pos, b - a, len(code)).astype(np.int64))])
+        for k, (x, stop) in enumerate(zip(starts.tolist(), stops.tolist(), strict=True)):
+            while True:
+                y = min(stop, max(x + 2 * reach, int(np.searchsorted(load, load[x] + HITS, "right")) - 1))
+                more = int(load[y] - load[x])
+                if total + more > HITS and groups[-1]:
+                    groups.append([])
+                    total = 0
+                groups[-1].append((k, x, y))
+                total += more
+                if y == stop:
+                    break
+                x = y - reach
+        for group in groups:
+            part = np.concatenate([code[x:y] if code[y - 1] == STOP else np.append(code[x:y], STOP) for _, x, y in group]).astype(code.dtype)
+            places_of = np.concatenate([at[x:y] if code[y - 1] == STOP else np.append(at[x:y], at[y - 1] + 1) for _, x, y in group])
+            sizes = np.array([y - x + int(code[y - 1] != STOP) for _, x, y in group])
+            begin = np.cumsum(sizes) - sizes
+            mine = [np.flatnonzero((pos >= x) & (pos < y - self.q + 1)) for _, x, y in group]
+            shifted = np.concatenate([pos[m] - x + s for m, (_, x, _), s in zip(mine, group, begin, strict=True)])
+            mine = np.concatenate(mine)
+            number = np.array([k for k, _, _ in group])
+            out |= self._search(part, begin, places_of, first[number], number, (shifted, a[mine], b[mine]))
+        return sorted(out)
+
+    def _search(self, code: np.ndarray, starts: np.ndarray, at: np.ndarray, first: np.ndarray, number: np.ndarray, places: tuple) -> set:
+        """search() of folded texts with these numbers, of which places() told the shared q-grams."""
         out = set()
-        pos, gram, band, doc = self.banded(code, starts)
+        pos, gram, band, doc = self.banded(code, starts, places)
         for coarse in (1, 0):
             found = self.plausible(code, starts, self.candidates(gram, band, doc, coarse))
             edits, ends = self.verify(code, starts, found)
@@ -246,17 +314,16 @@ class Index:
                 last = max(0, end - 1)
                 begin = max(int(starts[k]), last + 1 - size)
                 told.setdefault((k, item), []).append((begin, last + 1))
-                out.add((k, item, int(at[begin] - first[k]), int(at[last] - first[k]) + 1, e))
+                out.add((int(number[k]), item, int(at[begin] - first[k]), int(at[last] - first[k]) + 1, e))
             if coarse and told:
                 item = self.item[gram]
                 pair = doc * len(self.ids) + item
                 open_ = np.ones(len(pos), bool)
-                for (k, i), places in told.items():
+                for (k, i), spans in told.items():
                     mine = np.flatnonzero(pair == k * len(self.ids) + i)
-                    for begin, end in set(places):
-                        open_[mine[(pos[mine] >= begin) & (pos[mine] < end)]] = False
+                    open_[mine[_within(pos[mine], spans)]] = False
                 pos, gram, band, doc = pos[open_], gram[open_], band[open_], doc[open_]
-        return sorted(out)
+        return out
 
 
 SCHEMA = "doc_id long, contaminated boolean, item_ids array<long>, spans array<struct<item_id:long,start:int,end:int,edits:int>>"
@@ -292,26 +359,40 @@ def blocks(benchmark: DataFrame) -> list[DataFrame]:
     return [items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k) for k in range(n)]
 
 
+def _index(part: DataFrame, options: dict):
+    """A block of items, indexed on the driver: its size is bounded."""
+    rows = part.orderBy("item_id", "text").collect()
+    return part.sparkSession.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in rows], **options))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """doc_id, contaminated, item_ids and spans, one row for each row of docs."""
+    """doc_id, contaminated, item_ids and spans, one row for each row of docs.
+
+    With several blocks rows are numbered and written once, each block's hits are
+    written by these numbers, and its index is let go before the next one.
+    """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    out = None
     parts = blocks(benchmark)
-    for part in parts:
-        index = docs.sparkSession.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").collect()], **options))
-        found = rows.mapInArrow(_searcher(index), SCHEMA)
-        out = found if out is None else out.unionAll(found.where("contaminated"))
     if len(parts) == 1:
-        return out
-    # rows with equal ids: what one of them holds is told of each
-    hits = out.where("contaminated").groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    joined = rows.select(F.col("doc_id").alias("_id")).join(hits, F.col("_id").eqNullSafe(F.col("doc_id")), "left")
+        return rows.mapInArrow(_searcher(_index(parts[0], options)), SCHEMA)
+    scratch = Scratch(docs.sparkSession, "benchmark")
+    rows = scratch.write("rows", rows.withColumn("row", F.monotonically_increasing_id()))
+    found = []
+    for k, part in enumerate(parts):
+        index = _index(part, options)
+        hits = rows.select(F.col("row").alias("doc_id"), "text").mapInArrow(_searcher(index), SCHEMA)
+        found.append(scratch.write(f"hits-{k}", hits.where("contaminated").select(F.col("doc_id").alias("_row"), "item_ids", "spans")))
+        index.unpersist()
+    hits = reduce(DataFrame.unionAll, found)
+    hits = hits.groupBy("_row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    joined = rows.select("row", "doc_id").join(hits, F.col("row") == F.col("_row"), "left")
     none = F.array().cast("array<long>")
-    return joined.select(F.col("_id").alias("doc_id"), F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("spans", F.array().cast(hits.schema["spans"].dataType)).alias("spans"))
+    return joined.select("doc_id", F.col("_row").isNotNull().alias("contaminated"), F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("spans", F.array().cast(hits.schema["spans"].dataType)).alias("spans"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs that are not contaminated, one pass for each block of the benchmark."""
+    """The rows of docs that are not contaminated; with several blocks of the benchmark, what one leaves is written for the next."""
 
     def keeper(index):
         def run(batches):
@@ -322,9 +403,15 @@ def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
         return run
 
-    for part in blocks(benchmark):
-        index = docs.sparkSession.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").collect()], **options))
+    small_batches(docs.sparkSession)
+    scratch, parts = Scratch(docs.sparkSession, "clean"), blocks(benchmark)
+    for k, part in enumerate(parts):
+        index = _index(part, options)
         docs = docs.mapInArrow(keeper(index), docs.schema)
+        if k < len(parts) - 1:
+            docs = scratch.write(f"rest-{k}", docs)
+            scratch.drop(f"rest-{k - 1}")
+            index.unpersist()
     return docs
 
 
