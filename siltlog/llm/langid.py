@@ -2,18 +2,21 @@
 
 A chunk of text between blanks is cut into runs of letters of one script. The
 script ranges narrow the candidates to the languages seen with that script in
-training; hashed character n-grams of orders 1 to 3 (with word ends) give each
-candidate a log-probability, averaged over the orders. A Viterbi pass over the
-chunk scores with a penalty for each switch labels spans; the language with most
-letters is the prediction, and its share of all letters the score.
+training (at least SCRIPT_SHARE of a language's letters); hashed character n-grams
+of orders 1 to 3 (with word ends) give each candidate a log-probability, averaged
+over the orders, and not less than the best one's by more than FLOOR. A Viterbi
+pass over the chunk scores with a penalty for each switch labels spans; the
+language with most letters is the prediction, and its share of all letters the
+score.
 
 The model is fitted on a bounded sample: about `train_docs` labelled texts per
 language, picked by a hash of the id. Its size is bounded by the number of
 n-gram buckets times the number of languages.
 
-Null texts, and texts without letters, are `und` with score 0. Letters of a
-script that no learned language has count for no language, so they lower the
-score; a text of only such letters gets the first learned language with score 0.
+Null texts, and texts without letters (numerals are none), are `und` with score 0.
+Letters of a script that no learned language has count for no language, so they
+lower the score; a text of only such letters gets the first learned language with
+score 0.
 Null languages are not learned. Ties go to the language first in order. With
 nothing to learn from, every text is `und`. An empty table gives no rows.
 """
@@ -21,15 +24,18 @@ nothing to learn from, every text is `und`. An empty table gives no rows.
 from __future__ import annotations
 
 import bisect
+import math
 import re
+import uuid
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltlog.llm.common import documents, fold
-from siltlog.llm.words import chunks, claim, pieces
+from siltlog.llm.common import documents, fold, small_batches
+from siltlog.llm.words import RowMemo, chunks, claim, distinct_chunks, pieces
 
 #: First code points of script ranges, in order; letters outside all others are "other".
 SCRIPTS = [
@@ -45,10 +51,13 @@ SCRIPTS = [
 ]
 _STARTS = [s for s, _ in SCRIPTS]
 NAMES = sorted({n for _, n in SCRIPTS})
-_LETTERS = re.compile(r"[^\W\d_]+")
 _LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 BUCKETS = 1 << 17
 ORDERS = 3
+#: A language is a candidate for a script that at least this share of its letters is in.
+SCRIPT_SHARE = 0.01
+#: How far behind the best one a word can put a language, and as much again a script it is no candidate for.
+FLOOR = -40.0
 
 
 def script_of(char: str) -> str:
@@ -60,13 +69,9 @@ def runs(chunk: str) -> list[tuple[str, str]]:
     if chunk.isascii() or _LATIN.fullmatch(chunk):
         return [("latin", w.lower()) for w in _LATIN.findall(chunk)]
     out = []
-    for word in _LETTERS.findall(chunk):
-        start = 0
-        kinds = [script_of(c) for c in word]
-        for k in range(1, len(word) + 1):
-            if k == len(word) or kinds[k] != kinds[start]:
-                out.append((kinds[start], word[start:k].lower()))
-                start = k
+    for kind, run in groupby(chunk, lambda c: script_of(c) if c.isalpha() else None):
+        if kind:
+            out.append((kind, "".join(run).lower()))
     return out
 
 
@@ -118,6 +123,7 @@ class Model:
     """Learned languages, their n-gram log-probabilities and the scripts they are written in."""
 
     def __init__(self, counts: list[tuple[str, int, int]], penalty: float = 8.0):
+        self.key = uuid.uuid4().hex
         self.langs = sorted({lang for lang, _, _ in counts})
         self.penalty = np.float32(penalty)
         table = np.zeros((BUCKETS + len(NAMES), len(self.langs)), np.float64)
@@ -126,7 +132,7 @@ class Model:
         total = table[:BUCKETS].sum(0)
         self.logs = (np.log((table[:BUCKETS] + 0.5) / (total + 0.5 * BUCKETS)) / ORDERS).astype(np.float32)
         letters = table[BUCKETS:]
-        self.scripts = letters >= np.maximum(1, 0.01 * letters.sum(0))
+        self.scripts = letters >= np.maximum(1, SCRIPT_SHARE * letters.sum(0))
 
     def score(self, new: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each chunk: its score by language, its letters, and those of a learned script."""
@@ -146,7 +152,7 @@ class Model:
             at, word_of = grams(words)
             by_word = np.stack([np.bincount(word_of, self.logs[at, j], len(words)) for j in range(len(self.langs))], 1)
             by_word -= by_word.max(1, keepdims=True)
-            by_word = np.maximum(by_word, -40) - 40.0 * ~self.scripts[barred]
+            by_word = np.maximum(by_word, FLOOR) + FLOOR * ~self.scripts[barred]
             np.add.at(scores, owners, by_word.astype(np.float32))
         return scores, letters, known
 
@@ -197,36 +203,35 @@ def fit(docs: DataFrame, train_docs: int = 400, penalty: float = 8.0) -> Model:
 
 
 class Labeller:
-    """Keeps the scores of chunks seen lately, up to a bound."""
+    """Labels texts; scores of chunks seen before are kept, in at most MEMO bytes."""
 
-    def __init__(self, model: Model, most: int = 250_000):
-        self.model, self.most = model, most
-        self.reset()
+    MEMO = 64 << 20
 
-    def reset(self):
-        self.known = {}
-        self.scores, self.letters, self.seen = np.zeros((0, len(self.model.langs)), np.float32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def __init__(self, model: Model):
+        self.model = model
+        self.memo = RowMemo(model.score, max(10, min(20, int(math.log2(self.MEMO / (36 + 4 * len(model.langs)))))))
 
-    def spans(self, texts: list[str]):
+    def spans(self, texts: pa.Array):
         """For all chunks of all texts: their numbers by text, languages, letters, letters of learned scripts."""
-        if len(self.known) > self.most:
-            self.reset()
-        split = [chunks(t) for t in texts]
-        new = set()
-        for x in split:
-            new.update(x)
-        new = sorted(new.difference(self.known))
-        if new:
-            found = self.model.score(new)
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            self.scores, self.letters, self.seen = (np.concatenate(x) for x in zip((self.scores, self.letters, self.seen), found, strict=True))
-        known = self.known
-        at = np.array([known[c] for x in split for c in x], np.int64)
-        sizes = np.array([len(x) for x in split], np.int64)
-        return sizes, self.model.viterbi(self.scores[at], sizes), self.letters[at], self.seen[at]
-
-
-def _predict(labeller: Labeller, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        codes, sizes, distinct = distinct_chunks(texts)
+        at, (scores, letters, seen) = self.memo.rows(distinct)
+        at = at[codes]
+        return sizes, self.model.viterbi(scores[at], sizes), letters[at], seen[at]
+
+
+_KEPT: dict[str, Labeller] = {}
+
+
+def _labeller(model: Model) -> Labeller:
+    """The worker's labeller for a model; tasks of one job share what it keeps."""
+    claim("langid", _KEPT.clear)
+    if model.key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[model.key] = Labeller(model)
+    return _KEPT[model.key]
+
+
+def _predict(labeller: Labeller, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Predicted language, score and number of spans of each text."""
     model = labeller.model
     k = len(model.langs)
@@ -242,18 +247,15 @@ def _predict(labeller: Labeller, texts: list[str]) -> tuple[list[str], np.ndarra
     return pred, share[np.arange(len(texts)), top] / np.maximum(total, 1), np.bincount(doc[ends], minlength=len(texts)) + 1
 
 
-def _texts(batch) -> list[str]:
-    return [t or "" for t in batch.column("text").to_pylist()]
-
-
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score and the number of spans of each text."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets times languages
 
     def run(batches):
-        claim("langid")
-        labeller = Labeller(model)
+        labeller = _labeller(shared.value)
         for batch in pieces(batches):
-            pred, score, spans = _predict(labeller, _texts(batch))
+            pred, score, spans = _predict(labeller, batch.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(spans, pa.int64())], ["doc_id", "lang_pred", "score", "n_spans"]
             )
@@ -263,12 +265,13 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The rows of docs whose text has a predicted language with a score of at least `least`."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        claim("langid")
-        labeller = Labeller(model)
+        labeller = _labeller(shared.value)
         for batch in pieces(batches):
-            pred, score, _ = _predict(labeller, _texts(batch))
+            pred, score, _ = _predict(labeller, batch.column("text"))
             yield batch.filter(pa.array([p != "und" and s >= least for p, s in zip(pred, score, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
@@ -278,7 +281,7 @@ def label_spans(text: str, model: Model) -> list[tuple[str, str]]:
     """(language, text) of the spans of one text, its chunks joined by single blanks."""
     if not model.langs:
         return [("und", text)]
-    _, langs, _, _ = Labeller(model).spans([text])
+    _, langs, _, _ = Labeller(model).spans(pa.array([text]))
     out: list[tuple[str, list[str]]] = []
     for chunk, lang in zip(chunks(text), langs, strict=True):
         if not out or out[-1][0] != model.langs[lang]:

@@ -1,8 +1,10 @@
 """Quality scores by Naive Bayes support vectors.
 
 Features are indicators of hashed n-grams over two streams of a text: its words
-(orders 1 and 2) and their shapes (letter case, digits, signs; a repeat of the
-word before is a shape of its own; orders 1, 2, 3, 4 and 8). An indicator is
+(orders 1 and 2) and their shapes (letter case, digits, signs, of which a run of
+more than SIGN_RUN counts as so many; a repeat of the word before is a shape of
+its own; orders 1, 2, 3, 4 and 8). N-grams of fewer than `least_texts` training texts
+are left out. An indicator is
 scaled by the log of the ratio in which the two classes have it, and a linear
 hinge-loss model is fitted by dual coordinate descent. Margins become scores
 between 0 and 1 by a logistic curve fitted on labelled texts kept back for it.
@@ -26,10 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltlog.llm.common import documents, fold
-from siltlog.llm.words import chunks, claim, pieces
+from siltlog.llm.common import documents, fold, small_batches
+from siltlog.llm.words import RowMemo, claim, distinct_chunks, pieces
 
 BITS = 20
+SIGN_RUN = 3
 WORD_ORDERS, SHAPE_ORDERS = (1, 2), (1, 2, 3, 4, 8)
 _RUN = re.compile(r"([^\W\d_]+)|(\d+)|(\W|_)\3*")
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -42,41 +45,30 @@ def shape(chunk: str) -> str:
         if word:
             out.append("w" if word.islower() else "U" if word.isupper() and len(word) > 1 else "W" if word[:1].isupper() and word[1:].islower() or len(word) == 1 else "x")
         else:
-            out.append("0" if digits else m[0][:3])
-    return "".join(out)[:24]
+            out.append("0" if digits else m[0][:SIGN_RUN])
+    return "".join(out)
 
 
-class Features:
-    """Distinct n-gram buckets of texts; hashes of chunks seen lately are kept, up to a bound."""
+def _crc(words: list[str]) -> np.ndarray:
+    return np.array([zlib.crc32(w.encode()) for w in words], np.uint64)
+
 
-    def __init__(self, most: int = 300_000):
-        self.most = most
-        self.reset()
+class Features:
+    """Distinct n-gram buckets of texts; hashes of chunks seen before are kept, up to a bound."""
 
-    def reset(self):
-        self.known, self.words, self.shapes = {}, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    def __init__(self):
+        self.memo = RowMemo(lambda new: (_crc([c.lower().strip(".,;:!?*&%$#|") for c in new]), _crc([shape(c) for c in new])))
 
-    def grams(self, texts: list[str]):
+    def grams(self, texts: pa.Array):
         """(text numbers, buckets) for each order, with repeats."""
-        if len(self.known) > self.most:
-            self.reset()
-        split = [chunks(t) for t in texts]
-        new = set()
-        for x in split:
-            new.update(x)
-        new = sorted(new.difference(self.known))
-        if new:
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            crc = lambda s: zlib.crc32(s.encode("utf-8", "surrogatepass"))
-            self.words = np.concatenate([self.words, np.array([crc(c.lower().strip(".,;:!?*&%$#|")) for c in new], np.uint64)])
-            self.shapes = np.concatenate([self.shapes, np.array([crc(shape(c)) for c in new], np.uint64)])
-        known = self.known
-        at = np.array([known[c] for x in split for c in x], np.int64)
-        doc = np.repeat(np.arange(len(texts)), [len(x) for x in split])
-        shapes = self.shapes[at]
+        codes, sizes, distinct = distinct_chunks(texts)
+        at, (words, shapes) = self.memo.rows(distinct)
+        at = at[codes]
+        doc = np.repeat(np.arange(len(texts)), sizes)
+        words, shapes = words[at], shapes[at]
         if len(at) > 1:
             shapes[1:][(at[1:] == at[:-1]) & (doc[1:] == doc[:-1])] = 7
-        for salt, stream, orders in ((1, self.words[at], WORD_ORDERS), (2, shapes, SHAPE_ORDERS)):
+        for salt, stream, orders in ((1, words, WORD_ORDERS), (2, shapes, SHAPE_ORDERS)):
             h = np.full(len(stream), salt, np.uint64)
             for n in range(1, max(orders) + 1):
                 size = len(stream) - n + 1
@@ -88,7 +80,7 @@ class Features:
                     ok = doc[:size] == doc[n - 1 :]
                     yield doc[:size][ok], ((h[ok] * _B + np.uint64(n)) >> np.uint64(64 - BITS)).astype(np.int64)
 
-    def distinct(self, texts: list[str]) -> list[np.ndarray]:
+    def distinct(self, texts: pa.Array) -> list[np.ndarray]:
         found = list(self.grams(texts))
         if not found:
             return [np.zeros(0, np.int64) for _ in texts]
@@ -104,7 +96,7 @@ class Model:
     def __init__(self, ratio: np.ndarray, weights: np.ndarray, bias: float, curve: tuple[float, float]):
         self.ratio, self.weights, self.bias, self.curve = ratio, weights, bias, curve
 
-    def margins(self, features: Features, texts: list[str]) -> np.ndarray:
+    def margins(self, features: Features, texts: pa.Array) -> np.ndarray:
         keys = [(d[hit] << BITS) | b[hit] for d, b in features.grams(texts) if (hit := self.ratio[b] != 0).any()]
         if not keys:
             return np.full(len(texts), self.bias)
@@ -113,7 +105,7 @@ class Model:
         norm = np.sqrt(np.bincount(doc, np.square(self.ratio[bucket]), len(texts)))
         return self.bias + np.bincount(doc, self.ratio[bucket] * self.weights[bucket], len(texts)) / np.maximum(norm, 1e-6)
 
-    def scores(self, features: Features, texts: list[str]) -> np.ndarray:
+    def scores(self, features: Features, texts: pa.Array) -> np.ndarray:
         a, b = self.curve
         return 1 / (1 + np.exp(-np.clip(a * self.margins(features, texts) + b, -30, 30)))
 
@@ -157,8 +149,11 @@ def _logistic(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def train(rows: list[np.ndarray], labels: list[int], cost: float = 1.0, epochs: int = 40, mix: float = 0.9, seed: int = 7) -> Model:
-    """Fit on the bucket lists of labelled texts; every fourth text is kept back for the curve."""
+def train(rows: list[np.ndarray], labels: list[int], cost: float = 1.0, epochs: int = 40, mix: float = 0.9, seed: int = 7, least_texts: int = 3) -> Model:
+    """Fit on the bucket lists of labelled texts; every fourth text is kept back for the curve.
+
+    N-grams in fewer than least_texts of the others are no features: their ratios are noise.
+    """
     y = np.where(np.array(labels, np.int64) > 0, 1.0, -1.0)
     size = 1 << BITS
     if len(y) == 0 or (y > 0).all() or (y < 0).all():
@@ -177,7 +172,7 @@ def train(rows: list[np.ndarray], labels: list[int], cost: float = 1.0, epochs:
         seen[x] += 1
     p, q = counts[1.0], counts[-1.0]
     n_pos, n_neg = (yk > 0).sum() + 2, (yk < 0).sum() + 2
-    ratio = np.where(seen >= 3, np.log((p / n_pos) / (q / n_neg)), 0.0)
+    ratio = np.where(seen >= least_texts, np.log((p / n_pos) / (q / n_neg)), 0.0)
     w, bias = _descend(kept, yk, ratio, cost, epochs, seed)
     used = ratio != 0
     flat = np.abs(w[used]).mean() if used.any() else 0.0
@@ -190,7 +185,7 @@ def train(rows: list[np.ndarray], labels: list[int], cost: float = 1.0, epochs:
 def _extract(batches):
     features = Features()
     for batch in pieces(batches):
-        found = features.distinct([t or "" for t in batch.column("text").to_pylist()])
+        found = features.distinct(batch.column("text"))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array([x.astype(np.int32) for x in found], pa.list_(pa.int32()))], ["doc_id", "quality", "buckets"])
 
 
@@ -207,12 +202,22 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = 4000) -> Model:
     return train([np.array(r["buckets"], np.int64) for r in found], [r["quality"] for r in found])
 
 
+_KEPT: list[Features] = []
+
+
+def _features() -> Features:
+    """The worker's own; tasks share what it keeps."""
+    claim("quality", _KEPT.clear)
+    if not _KEPT:
+        _KEPT.append(Features())
+    return _KEPT[0]
+
+
 def _scorer(model):
     def run(batches):
-        claim("quality")
-        features = Features()
+        features = _features()
         for batch in pieces(batches):
-            found = model.value.scores(features, [t or "" for t in batch.column("text").to_pylist()])
+            found = model.value.scores(features, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.float64())], ["doc_id", "score"])
 
     return run
@@ -220,6 +225,7 @@ def _scorer(model):
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of each text."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size: one weight a bucket
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_scorer(shared), "doc_id long, score double")
 

@@ -21,11 +21,11 @@ def test_predictions_and_edge_cases(spark):
     model = _model(spark, rng)
     assert model.langs == ["de", "en", "ru"]
     texts = [(k, _text(rng, lang, 20), lang) for k, lang in enumerate(["en", "de", "ru"] * 40)]
-    odd = [(900, None, "und"), (901, "", "und"), (902, "12 34 !? _", "und"), (None, _text(rng, "de", 9), "de"), (903, "漢字", "de"), (903, "漢字", "de"), (904, _text(rng, "en", 60_000), "en")]
+    odd = [(900, None, "und"), (901, "", "und"), (902, "12 34 !? _", "und"), (905, "½ ²", "und"), (906, "①the² Ⅷ", "en"), (None, _text(rng, "de", 9), "de"), (903, "漢字", "de"), (903, "漢字", "de"), (904, _text(rng, "en", 60_000), "en")]
     docs = spark.createDataFrame([(i, t, "nope", 1) for i, t, _ in texts + odd], "doc_id long, text string, lang_pred string, score int")
     rows = langid.identify(docs, model).collect()
     assert sorted(((r.doc_id or -1), r.lang_pred) for r in rows) == sorted(((i or -1), lang) for i, _, lang in texts + odd)
-    assert all(0 <= r.score <= 1 for r in rows) and {r.score for r in rows if r.doc_id in (900, 901, 902, 903)} == {0.0}
+    assert all(0 <= r.score <= 1 for r in rows) and {r.score for r in rows if r.doc_id in (900, 901, 902, 903, 905)} == {0.0}
     assert langid.keep_identified(docs, model).count() == len(texts) + 2
     assert langid.identify(docs.limit(0), model).count() == 0
     assert {r.lang_pred for r in langid.identify(docs, langid.Model([])).collect()} == {"und"}
