@@ -3,12 +3,17 @@
 A text is cut before each word, so that the pieces joined give the text again.
 Patterns name candidate words: known key prefixes, values assigned to a telling
 name in the same word or the words before, and long mixed runs with a digit. All
-values in such a word are candidates, each by itself. For each candidate the forest looks at its length, its characters (shares of digits
-and capitals, class transitions, distinct characters), how much of it a
-dictionary of common and placeholder words covers, whether it is a path, address
+values in such a word are candidates, each by itself. For each candidate the forest
+looks at its length, its characters (shares of digits and capitals, class
+transitions, distinct characters), how likely its letters follow each other in
+words, how much of it words of a dictionary cover, whether it is a path, address
 or identifier, and at the words beside it. The share of the trees that vote for a
 secret is its score; those with a majority are kept, others are false positives.
 
+The dictionary is the first `words` whole words of a public vocabulary file, whose
+order is by frequency; letter transitions are counted in them. Placeholder words
+are a list of their own.
+
 The trees are trained here with Spark's ML on labelled findings (bounded: the
 table given, by default `examples` made-up lines a kind) and written out as
 conditional expressions, so scanning is a projection: no shuffle, no Python.
@@ -19,7 +24,10 @@ columns and further columns do not matter; an empty table gives no rows.
 
 from __future__ import annotations
 
+import json
+import math
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,7 +53,44 @@ DICTIONARY = (
     "the and for with from this that not are was have will can all one two new"
 ).split()
 REDACTED = "[REDACTED]"
-FEATURES = ("length", "digits", "capitals", "transitions", "distinct", "covered", "path", "identifier", "hexadecimal", "prefix", "assigned", "near", "placeholder", "letters_run")
+WORDS, LEAST_LETTERS = 3000, 4
+FEATURES = ("length", "digits", "capitals", "transitions", "distinct", "covered", "path", "identifier", "hexadecimal", "prefix", "assigned", "near", "placeholder", "letters_run", "words", "likely")
+
+
+Tree = tuple  # (feature, threshold, left, right) or a label
+
+
+@dataclass
+class Book:
+    """Words, and for each two of 26 letters how much likelier than by chance the second follows the first (its log)."""
+
+    words: list[str]
+    steps: list[float]
+
+
+def book(path: str | None = None, words: int = WORDS) -> Book:
+    """From a vocabulary file (JSON) whose whole words end in </w>, in order of frequency."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    ordered = [w[:-4] for w, _ in sorted(vocabulary.items(), key=lambda x: x[1]) if w.endswith("</w>")]
+    found = [w for w in ordered if len(w) >= LEAST_LETTERS and re.fullmatch("[a-z]+", w)][:words]
+    n = [[0.5] * 26 for _ in range(26)]
+    for w in found:
+        for a, b in zip(w, w[1:]):
+            n[ord(a) - 97][ord(b) - 97] += 1
+    return Book(found, [math.log(26 * x / sum(row)) for row in n for x in row])
+
+
+@dataclass
+class Forest:
+    """Trees as conditional expressions, and the book that their features are made with."""
+
+    trees: list[Tree]
+    book: Book
 
 
 def _n(c: Column) -> Column:
@@ -124,7 +169,25 @@ def candidates(text: Column) -> tuple[Column, Column]:
     return pieces, F.flatten(F.transform(words, _values))
 
 
-def features(c: Column) -> Column:
+def _covered(value: Column, words: list[str]) -> Column:
+    """Letters of value in runs that are words."""
+    runs = F.regexp_extract_all(value, F.lit(f"([A-Z]?[a-z]{{{LEAST_LETTERS - 1},}}|[A-Z]{{{LEAST_LETTERS},}})"), 1)
+    return F.aggregate(runs, F.lit(0), lambda total, r: total + F.when(F.lower(r).isin(words), F.length(r)).otherwise(0))
+
+
+def _likely(value: Column, steps: list[float]) -> Column:
+    """Sum of the steps from letter to letter."""
+    codes = F.transform(F.split(F.lower(value), ""), lambda ch: F.when(ch.between("a", "z"), F.ascii(ch) - 97).otherwise(-1))
+    table = F.array(*[F.lit(x) for x in steps])
+
+    def step(pair):
+        return F.when((pair["a"] >= 0) & (pair["b"] >= 0), F.get(table, pair["a"] * 26 + pair["b"])).otherwise(0.0)
+
+    pairs = F.transform(F.array(codes), lambda x: F.arrays_zip(x.alias("a"), F.slice(x, 2, F.greatest(F.size(x), F.lit(1))).alias("b")))
+    return F.aggregate(F.flatten(pairs), F.lit(0.0), lambda total, pair: total + F.coalesce(step(pair), F.lit(0.0)))
+
+
+def features(c: Column, by: Book) -> Column:
     """Array of FEATURES of one candidate struct."""
     value, word = c["value"], c["word"]
     n = _n(value)
@@ -150,6 +213,8 @@ def features(c: Column) -> Column:
             | F.concat_ws(" ", c["before"], c["after"]).rlike(r"(?i)(?<![\w.@/-])(example|sample|placeholder|dummy|fake|commit|revision|checksum|digest|sha256|md5|uuid|isbn)(?![\w.@/-])")
         ),
         F.length(F.regexp_extract(value, "([a-z]{6,}|[A-Z]{22,})", 1)) / n,
+        _covered(value, by.words) / n,
+        _likely(value, by.steps) / n,
     ]
     return F.array(*[v.cast("double") for v in values])
 
@@ -164,11 +229,13 @@ LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ
 HEX, BASE32, BASE62 = "0123456789abcdef", UPPER + "234567", LOWER + UPPER + DIGITS
 
 
-def labelled_findings(spark: SparkSession, examples: int = 150) -> DataFrame:
-    """Made-up lines: text, and whether the candidates in it are secrets."""
+def labelled_findings(spark: SparkSession, examples: int = 150, by: Book | None = None) -> DataFrame:
+    """Made-up lines: text, and whether the candidates in it are secrets. Half of them are made of words, half of syllables."""
     r = lambda key, n, alphabet: _letters(key, n, alphabet)
     syllables = F.array(*[F.lit(x) for x in "th er an on re in st ed ti or ing tion ly ble que mente schaft heit".split()])
-    word = lambda key, n: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.get(syllables, F.pmod(F.xxhash64("id", F.lit(key), i), F.size(syllables)).cast("int"))), "")
+    words = F.array(*[F.lit(w) for w in (by or book()).words[::15]])
+    some = lambda of, key, n: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.get(of, F.pmod(F.xxhash64("id", F.lit(key), i), F.size(of)).cast("int"))), "")
+    word = lambda key, n: F.when(F.col("id") % 2 == 0, some(syllables, key, n)).otherwise(some(words, key, -(-n // 2)))
     s = F.concat
     lit = F.lit
     dashed = lambda k: s(r(k, 8, HEX), lit("-"), r(k + "1", 4, HEX), lit("-4"), r(k + "2", 3, HEX), lit("-a"), r(k + "3", 3, HEX), lit("-"), r(k + "4", 12, HEX))
@@ -205,13 +272,10 @@ def labelled_findings(spark: SparkSession, examples: int = 150) -> DataFrame:
     return rows.select(F.concat(word("p", 2), F.lit(" "), word("q", 3), F.lit(", "), F.col("k.line"), end, F.lit(" "), beside, F.lit(" "), word("t", 3)).alias("text"), F.col("k.label").alias("label"))
 
 
-def found_in(docs: DataFrame) -> DataFrame:
+def found_in(docs: DataFrame, by: Book) -> DataFrame:
     """docs with `_p`, the pieces, and `_c`, the candidates with their features."""
     pieces, found = candidates(F.coalesce(F.col("text"), F.lit("")))
-    return docs.withColumn("_p", pieces).withColumn("_c", F.transform(found, lambda c: F.struct(c["place"].alias("place"), c["value"].alias("value"), features(c).alias("f"))))
-
-
-Tree = tuple  # (feature, threshold, left, right) or a label
+    return docs.withColumn("_p", pieces).withColumn("_c", F.transform(found, lambda c: F.struct(c["place"].alias("place"), c["value"].alias("value"), features(c, by).alias("f"))))
 
 
 def _read(lines: list[str], at: int = 0) -> tuple[Tree | float, int]:
@@ -225,14 +289,27 @@ def _read(lines: list[str], at: int = 0) -> tuple[Tree | float, int]:
     return (int(m[1]), float(m[2]), left, right), at
 
 
-def train(findings: DataFrame, trees: int = 25, depth: int = 6, seed: int = 3) -> list[Tree]:
-    """Trees of a random forest on findings(text, label); every candidate of a line has its label."""
-    from pyspark.ml.classification import RandomForestClassifier
+def labelled_rows(findings: DataFrame, by: Book) -> DataFrame:
+    """label and features of every candidate of findings(text, label); each has the label of its line."""
     from pyspark.ml.functions import array_to_vector
 
-    rows = found_in(findings).select("label", F.explode("_c").alias("c")).select("label", array_to_vector(F.col("c.f")).alias("features")).coalesce(2)
-    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt", subsamplingRate=0.8).fit(rows)
-    return [_read([x for x in t.toDebugString.split("\n")[1:] if x.strip()])[0] for t in forest.trees]
+    return found_in(findings, by).select("label", F.explode("_c").alias("c")).select("label", array_to_vector(F.col("c.f")).alias("features"))
+
+
+def fit(findings: DataFrame, by: Book, trees: int = 25, depth: int = 6, seed: int = 3):
+    """Spark's random forest on labelled findings."""
+    from pyspark.ml.classification import RandomForestClassifier
+
+    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt", subsamplingRate=0.8).fit(labelled_rows(findings, by).coalesce(2))
+
+
+def trees_of(model) -> list[Tree]:
+    return [_read([x for x in t.toDebugString.split("\n")[1:] if x.strip()])[0] for t in model.trees]
+
+
+def train(findings: DataFrame, by: Book | None = None, **options) -> Forest:
+    by = by or book()
+    return Forest(trees_of(fit(findings, by, **options)), by)
 
 
 def votes(trees: list[Tree], f: Column) -> Column:
@@ -250,10 +327,10 @@ def votes(trees: list[Tree], f: Column) -> Column:
     return total / len(trees)
 
 
-def scan(docs: DataFrame, trees: list[Tree], least: float = 0.5) -> DataFrame:
+def scan(docs: DataFrame, forest: Forest, least: float = 0.5) -> DataFrame:
     """docs with `findings` (place: number of the word; sha256 of the value; score; secret) and the redacted text."""
-    scored = found_in(docs).withColumn(
-        "_c", F.transform("_c", lambda c: F.struct(c["place"].alias("place"), c["value"].alias("value"), F.sha2(F.encode(c["value"], "UTF-8"), 256).alias("value_sha256"), votes(trees, c["f"]).alias("score")))
+    scored = found_in(docs, forest.book).withColumn(
+        "_c", F.transform("_c", lambda c: F.struct(c["place"].alias("place"), c["value"].alias("value"), F.sha2(F.encode(c["value"], "UTF-8"), 256).alias("value_sha256"), votes(forest.trees, c["f"]).alias("score")))
     )
     scored = scored.withColumn("findings", F.transform("_c", lambda c: F.struct(c["place"].alias("place"), c["value_sha256"].alias("value_sha256"), c["score"].alias("score"), (c["score"] > least).alias("secret"))))
     kept = F.filter("_c", lambda c: (c["score"] > least) & (c["value"] != ""))

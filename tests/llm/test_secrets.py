@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from siltlog.llm import secrets
@@ -11,14 +12,44 @@ def trees(spark):
     return secrets.train(secrets.labelled_findings(spark, 80), trees=15)
 
 
-def test_trees_equal_spark_and_hold_on_new_lines(spark, trees):
+def test_trees_equal_spark(spark):
+    by, lines = secrets.book(words=500), secrets.labelled_findings(spark, 40)
+    model = secrets.fit(lines, by, trees=7)
+    trees = secrets.trees_of(model)
+    rows = model.transform(secrets.labelled_rows(lines, by))
+    rows = rows.select("prediction", "probability", secrets.votes(trees, vector_to_array("features")).alias("v")).collect()
+    same = [(r.v > 0.5) == (r.prediction > 0.5) for r in rows if abs(r.v - 0.5) > 1e-9]
+    # Spark weighs each tree's vote by how sure its leaf is, so close calls may differ
+    assert len(same) > 500 and sum(same) / len(same) > 0.99
+
+
+def test_one_tree_equals_spark(spark):
+    by, lines = secrets.book(words=500), secrets.labelled_findings(spark, 40)
+    model = secrets.fit(lines, by, trees=1)
+    rows = model.transform(secrets.labelled_rows(lines, by)).select("prediction", secrets.votes(secrets.trees_of(model), vector_to_array("features")).alias("v")).collect()
+    assert all(r.v == r.prediction for r in rows) and {r.v for r in rows} == {0.0, 1.0}
+
+
+def test_hold_on_new_lines(spark, trees):
     fresh = secrets.labelled_findings(spark, 110).where(F.length("text") > 0).select("text", "label")
     fresh = fresh.exceptAll(secrets.labelled_findings(spark, 80))
-    rows = secrets.found_in(fresh).select("label", F.explode("_c").alias("c")).select("label", secrets.votes(trees, F.col("c.f")).alias("v")).collect()
+    rows = secrets.found_in(fresh, trees.book).select("label", F.explode("_c").alias("c")).select("label", secrets.votes(trees.trees, F.col("c.f")).alias("v")).collect()
     right = sum((r.v > 0.5) == (r.label > 0.5) for r in rows)
     assert len(rows) > 500 and right / len(rows) > 0.98
 
 
+def test_dictionary_and_transitions(spark):
+    by = secrets.book()
+    assert len(by.words) == secrets.WORDS and {"this", "password"} & set(by.words) and len(by.steps) == 26 * 26
+    values = ["", "a", "your/TIME.workXq", "qzxjvkqwzx", "thing", "1234"]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    got = [tuple(r) for r in df.select(secrets._covered(F.col("v"), by.words), secrets._likely(F.col("v"), by.steps)).collect()]
+    step = lambda a, b: by.steps[(ord(a) - 97) * 26 + ord(b) - 97]
+    want = [sum(step(a, b) for a, b in zip(v.lower(), v.lower()[1:]) if "a" <= a <= "z" and "a" <= b <= "z") for v in values]
+    assert [g[0] for g in got] == [0, 0, 12, 0, 5, 0] and all(abs(g[1] - w) < 1e-9 for g, w in zip(got, want))
+    assert want[3] / 9 < -1 < 0.5 < want[4] / 4
+
+
 def test_scan_and_edge_cases(spark, trees):
     rng = random.Random(2)
     key = "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16))
