@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from siltlog.llm.common import documents
 
 BINS, BITS, SHINGLE, LOOKS = 128, 8, 5, 6
+RANGES, FINE, LEAST_ROWS, MOST_ROWS = 1000, 200, 200, 20_000
 
 
 def _words(text: Column) -> Column:
@@ -82,22 +83,27 @@ def likeness(a: Column, b: Column, bins: int = BINS, bits: int = BITS) -> Column
 def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     """Adds next_<c> of the row next in ascending doc_id (after the last: the first) for each column.
 
-    docs has doc_id and _h (the order of equal ids). Rows fall into ranges of
-    doc_id by quantiles; the first row of each range also goes to the range
-    before, so no range needs another and none holds the whole table.
+    docs has doc_id and _h (the order of equal ids). Rows fall into up to RANGES
+    ranges of doc_id by quantiles, and where these would be large, each of them into
+    up to FINE by its own quantiles (of _h, if it holds one id or none). The first
+    row of each range also goes to the range before, so no range needs another and
+    none holds the whole table, nor all rows of one id.
     """
     n = docs.count()
     if n == 0:
         return docs.select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
-    ranges = max(1, min(1000, n // 200))
-    cuts = docs.select(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)] or [0.5], 10_000)).first()[0] if ranges > 1 else []
-    cuts = sorted(set(cuts or []))
-    if cuts:
-        bounds = F.array(*[F.lit(c).cast("long") for c in cuts])
-        part = F.coalesce(F.size(F.filter(bounds, lambda b: b <= F.col("doc_id"))), F.lit(0))
-    else:
-        part = F.lit(0)
-    placed = docs.withColumn("_part", part)
+    quantiles = lambda c, k: F.percentile_approx(c, [i / k for i in range(1, k)] or [0.5], 10_000)
+    below = lambda bounds, c: F.coalesce(F.size(F.filter(bounds, lambda b: b <= F.col(c))), F.lit(0))
+    ranges = max(1, min(RANGES, n // LEAST_ROWS))
+    cuts = sorted(set(docs.select(quantiles("doc_id", ranges)).first()[0] or [])) if ranges > 1 else []  # at most RANGES numbers
+    part = below(F.array(*[F.lit(c).cast("long") for c in cuts]), "doc_id") if cuts else F.lit(0)
+    placed = docs.withColumn("_part", F.when(F.col("doc_id").isNull(), -1).otherwise(part))
+    fine = min(FINE, -(-n // (ranges * MOST_ROWS)))
+    if fine > 1:
+        one = F.min("doc_id").eqNullSafe(F.max("doc_id"))
+        finer = placed.groupBy("_part").agg(one.alias("_one"), F.when(one, quantiles("_h", fine)).otherwise(quantiles("doc_id", fine)).alias("_cuts"))
+        placed = placed.join(F.broadcast(finer), "_part")  # as many rows as ranges, of FINE numbers
+        placed = placed.withColumn("_part", F.col("_part") * fine + F.when(F.col("_one"), below(F.col("_cuts"), "_h")).otherwise(below(F.col("_cuts"), "doc_id"))).drop("_one", "_cuts")
     key = F.struct(F.coalesce(F.col("doc_id").isNotNull().cast("int"), F.lit(0)).alias("v"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("d"), F.col("_h").alias("h"))
     whole = Window.partitionBy(F.lit(0))
     firsts = placed.groupBy("_part").agg(F.min(key).alias("_first"))

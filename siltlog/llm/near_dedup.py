@@ -229,4 +229,4 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir), shingle=2)
+    return near_duplicates(documents(spark, sf_dir), shingle=2).select("doc_id", "n_shingles", "component_id", "kept")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltlog.llm import decontaminate, fingerprints, langid, near_dedup, pieces, quality, secrets, sharding, substring_dedup, token_files
+from siltlog.llm import decontaminate, fingerprints, langid, near_dedup, oracle, pieces, quality, secrets, sharding, substring_dedup, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.texts()

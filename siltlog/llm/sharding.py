@@ -2,17 +2,18 @@
 
 Rows are shuffled by a seeded hash and ranked within their source; a row's
 fractional rank (rank - 1/2) / rows-of-source places it on one line for all
-sources, which is cut into equal pieces. Every shard then holds each source in
-the proportion of the whole table, to within a row, and row counts differ by at
-most one.
+sources, which is cut into equal pieces. Row counts of shards differ by at most
+one, and a shard's count of a source with share p of all rows, of k sources, is
+off its even part by at most 1 + k * p.
 
 Ranks over a source or the whole table never need the source in one task: rows
 fall into about sqrt(n) buckets by hash (or fractional rank), bucket counts are
 summed up into offsets, and row_number works inside a bucket only.
 
 Null sources are a source of their own; a null text counts as no bytes; null
-ids and repeated rows are placed like any other (equal rows are
-interchangeable). An empty table gives an empty result.
+ids and repeated rows are placed like any other (equal rows are interchangeable;
+rows without an id are told apart by where they stand, so that very many equal ones
+do not fall into one bucket). An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,6 +26,9 @@ from pyspark.sql import functions as F
 from siltlog.llm.common import documents, spool
 
 
+HEX = 15  # digits of the hash that orders rows
+
+
 def _bucket(unit, n_buckets: int):
     """Bucket of a number in [0, 1); monotone, so bucket order is number order."""
     return F.least(F.floor(unit * n_buckets), F.lit(n_buckets - 1)).cast("int")
@@ -44,11 +48,13 @@ def interleave(docs: DataFrame, n_shards: int = 8, seed: int = 17, stratum: str
         (F.octet_length(F.coalesce(F.col("text"), F.lit(""))) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
         F.coalesce(F.concat(F.lit("s"), F.col(stratum).cast("string")), F.lit("")).alias("_s"),
-    ).withColumn("_h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text_crc32")), 1))
-    rows = spool(rows, "shard-rows")
+    )
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("none "), F.monotonically_increasing_id().cast("string")))
+    digest = F.md5(F.encode(F.concat_ws("|", F.lit(str(seed)), name, F.col("text_crc32").cast("string")), "UTF-8"))
+    rows = spool(rows.withColumn("_h", F.conv(F.substring(digest, 1, HEX), 16, 10).cast("long")), "shard-rows")
     total = rows.count()
     n_buckets = max(1, math.isqrt(total))
-    rows = rows.withColumn("_b", _bucket(F.col("_h").cast("double") / float(2**63), n_buckets))
+    rows = rows.withColumn("_b", _bucket(F.col("_h").cast("double") / float(16**HEX), n_buckets))
     starts = _offsets(rows.groupBy("_s", "_b").agg(F.count(F.lit(1)).alias("_n")), ["_s"])
     local = F.row_number().over(Window.partitionBy("_s", "_b").orderBy("_h", "doc_id", "text_crc32", "size"))
     ranked = (

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from siltlog.llm import fingerprints as fp
@@ -35,9 +36,12 @@ def test_short_and_equal_texts(spark):
     assert fp.fingerprint(df.limit(0), "text", "f").count() == 0
 
 
-def test_next_rows(spark):
+@pytest.mark.parametrize("ranges, most", [(1000, 20_000), (4, 30)])
+def test_next_rows(spark, monkeypatch, ranges, most):
+    monkeypatch.setattr(fp, "RANGES", ranges)
+    monkeypatch.setattr(fp, "MOST_ROWS", most)
     rng = random.Random(1)
-    ids = [None, None, 7, 7, *rng.sample(range(-5000, 10**12), 900), *range(300)]
+    ids = [None, None, 7, 7, *[None] * 150, *[350] * 300, *rng.sample(range(-5000, 10**12), 900), *range(300)]
     docs = spark.createDataFrame([(i, f"t{k}") for k, i in enumerate(ids)], "doc_id long, text string").withColumn("_h", F.xxhash64("text"))
     rows = sorted(docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r._h))
     want = {a.text: b.text for a, b in zip(rows, rows[1:] + rows[:1])}

@@ -26,7 +26,7 @@ def test_predictions_and_edge_cases(spark):
     rows = langid.identify(docs, model).collect()
     assert sorted(((r.doc_id or -1), r.lang_pred) for r in rows) == sorted(((i or -1), lang) for i, _, lang in texts + odd)
     assert all(0 <= r.score <= 1 for r in rows) and {r.score for r in rows if r.doc_id in (900, 901, 902, 903, 905)} == {0.0}
-    assert langid.keep_identified(docs, model).count() == len(texts) + 2
+    assert langid.keep_identified(docs, model).count() == len(texts) + 3
     assert langid.identify(docs.limit(0), model).count() == 0
     assert {r.lang_pred for r in langid.identify(docs, langid.Model([])).collect()} == {"und"}
 
