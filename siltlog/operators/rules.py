@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,8 @@ from siltlog.sources.logs import rule_lines
 #: URLs of page parts, and of files that only crawlers ask for.
 SECONDARY = r"(\.(jpg|jpeg|png|gif|css|ico|woff|ttf|svg|eot\??))|(robots\.txt|sitemap\.xml|googlecea.+\.html)$"
 BENIGN = ("/robots.txt",)
+#: How an address rule must begin: four groups of up to three digits.
+FOUR_GROUPS = re.compile(r"\d{0,3}(\.\d{0,3}){3}", re.ASCII)
 ACCEPT, SKIP, IGNORE, BLOCK, UNPARSED = "accept", "skip", "ignore", "block", "unparsed"
 KINDS = ("ip", "net", "url", "ref", "ua", "vhost")
 
@@ -43,7 +46,7 @@ class Ruleset:
     def matches(self, kind: str) -> Column:
         """Whether a row matches a rule of a kind."""
         if kind == "ip":
-            good = sorted({r.strip() for r in self.ip if r.strip() and r.strip()[0].isdigit()})
+            good = sorted({r.strip() for r in self.ip if FOUR_GROUPS.match(r.strip())})
             return F.col("ip").isin(good) if good else F.lit(False)
         if kind == "net":
             found = [n for n in map(parse_network, self.net) if n]

@@ -5,40 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltlog.operators.purge import ENTRY
+
 DIMENSIONS = ("vhost", "url", "ref", "ua")
+_AT = (1 << 33) - 1  # the bits of monotonically_increasing_id() that number the rows of a partition
 
 
-def numbered(rows: DataFrame, start: int = 0) -> DataFrame:
-    """rows with id from start + 1 in the order of file and line_key.
+def numbered(rows: DataFrame, by: tuple[str, ...], path: str, start: int = 0) -> DataFrame:
+    """rows with id from start + 1 in the order of `by`; they are written to path.
 
-    Numbers are given within each file and moved on by the files before, so only
-    the table of files (one row each) meets in one task.
+    Rows are ranged by `by`, so no file or value is one task's alone, and numbered
+    within their range; the ranges before (one row each) move the numbers on.
     """
-    files = rows.groupBy("file").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    at = F.row_number().over(Window.partitionBy("file").orderBy("line_key"))
-    return rows.withColumn("_at", at).join(files.select("file", before.alias("_before")), "file").withColumn("id", (F.col("_at") + F.col("_before") + start).cast("long")).drop("_at", "_before")
-
-
-def dimension(rows: DataFrame, column: str, known: DataFrame | None = None) -> DataFrame:
-    """(id, value): known values keep their ids, new ones follow in the order of their first line."""
-    first = rows.groupBy(F.col(column).alias("value")).agg(F.min(F.struct("file", "line_key")).alias("_f"))
-    start = 0
-    if known is not None:
-        first = first.join(known.select("value"), "value", "left_anti")
-        start = known.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    new = numbered(first.select("value", "_f.*"), start).select("id", "value")
-    return new if known is None else known.select("id", "value").unionByName(new)
-
-
-def star(rows: DataFrame, known: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
-    """entries and the dimension tables of deduplicated rows."""
-    out, facts = {}, numbered(rows)
+    placed = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_m", F.monotonically_increasing_id())
+    placed.write.parquet(path)
+    placed = rows.sparkSession.read.schema(placed.schema).parquet(path).withColumn("_p", F.shiftright("_m", 33))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).select("_p", before.alias("_before"))
+    at = F.col("_m").bitwiseAND(F.lit(_AT)) + F.col("_before") + start + 1
+    return placed.join(F.broadcast(ranges), "_p").withColumn("id", at.cast("long")).drop("_m", "_p", "_before")  # as many rows as ranges
+
+
+def first_values(rows: DataFrame) -> DataFrame:
+    """dim, value, and the first id of each value of the dimensions."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("dim"), F.col(c).alias("value")) for c in DIMENSIONS]))
+    return rows.select("id", pairs.alias("x")).groupBy("x.dim", "x.value").agg(F.min("id").alias("first"))
+
+
+def facts(rows: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """Entries of rows with ids: values become the ids of the dimension tables."""
     for c in DIMENSIONS:
-        out[c] = dimension(rows, c, (known or {}).get(c))
-        facts = facts.join(out[c].select(F.col("id").alias(f"id_{c}"), F.col("value").alias(c)), c)
-    out["entries"] = facts.select("id", "dt", "ip", "http", "was_rd", *[f"id_{c}" for c in DIMENSIONS])
-    return out
+        rows = rows.join(tables[c].select(F.col("id").alias(f"id_{c}"), F.col("value").alias(c)), c)
+    return rows.select("id", "dt", "ip", "http", "was_rd", *[f"id_{c}" for c in DIMENSIONS], F.to_date("dt").alias("day"))
 
 
 def resolved(tables: dict[str, DataFrame], entries: DataFrame | None = None) -> DataFrame:
@@ -51,7 +49,8 @@ def resolved(tables: dict[str, DataFrame], entries: DataFrame | None = None) ->
 
 def records_at(tables: dict[str, DataFrame], dt) -> DataFrame:
     """The records of one second, in the order they came in."""
-    return resolved(tables, tables["entries"].where(F.col("dt") == F.lit(dt).cast("timestamp_ntz"))).orderBy("id")
+    at = F.lit(dt).cast("timestamp_ntz")
+    return resolved(tables, tables["entries"].where((F.col("day") == F.to_date(at)) & (F.col("dt") == at))).orderBy("id")
 
 
 def hits_for_ip(tables: dict[str, DataFrame], ip: str) -> DataFrame:
@@ -60,6 +59,4 @@ def hits_for_ip(tables: dict[str, DataFrame], ip: str) -> DataFrame:
 
 def without_stored(rows: DataFrame, stored: DataFrame) -> DataFrame:
     """Rows that the store does not hold yet (all stored columns equal)."""
-    from siltlog.operators.purge import ENTRY
-
     return rows.join(stored.select(*ENTRY), list(ENTRY), "left_anti")

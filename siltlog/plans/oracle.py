@@ -38,6 +38,10 @@ MATCH = {
 SECOND = r"regexp_matches(url, '(\.(jpg|jpeg|png|gif|css|ico|woff|ttf|svg|eot\??))|(robots\.txt|sitemap\.xml|googlecea.+\.html)$')"
 
 
+#: Bytes of a line and its end, made again from its fields.
+SIZE = """length(ip || ' ' || vhost || ' - [' || strftime(dt, '%d/%b/%Y:%H:%M:%S') || ' +0000] "GET ' || url || ' HTTP/1.1" ' || http || ' 10 "' || ref || '" "' || ua || '"') + 1"""
+
+
 def _verdict(options: bool = False) -> str:
     m = MATCH
     return (
@@ -105,6 +109,10 @@ def texts() -> dict[str, str]:
         "month_distance": f"{log} SELECT CAST(12 * (2024 - year(dt)) + 3 - month(dt) AS INTEGER) AS months, count(*) AS n FROM log GROUP BY 1",
         "dt_format": f"{log} SELECT strftime(dt, '%Y-%m-%d+%H:%M') AS minute, count(*) AS n FROM log GROUP BY 1",
         "ledger_upsert": f"{log} SELECT file AS name, CASE WHEN file > 'access.log.2' THEN max(dt) ELSE min(dt) END AS dt, count(*) AS bytes, CAST(file > 'access.log.2' AS BIGINT) AS records FROM log GROUP BY file",
+        "streaming_ingest": f"{flat} SELECT {KEYS} FROM flat",
+        "star_incremental": f"{flat} SELECT {KEYS} FROM flat",
+        "incremental_skip": f"{judged} SELECT file, count(*) AS n_lines, count(*) AS n_parsed, CAST(count(*) FILTER (verdict = 'accept') AS BIGINT) AS n_accepted FROM judged WHERE file NOT IN ('access.log.1', 'access.log.3') GROUP BY file",
+        "file_ledger": f"{judged} SELECT file AS name, CAST(sum({SIZE}) AS BIGINT) AS bytes, CAST(count(*) FILTER (verdict = 'accept') AS BIGINT) AS records FROM judged GROUP BY file",
         "q01_duplicate_entries_raw": f"WITH {_star('acc')} {reports.sql('q01', dialect='duckdb')}",
     }
     for c in ("vhost", "url", "ref", "ua"):

@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltlog.operators import ledger as ledgers
-from siltlog.operators.purge import ENTRY, file_counters, new_blocked, rejected_ips, write_blocklist
+from siltlog.operators.purge import file_counters, new_blocked, rejected_ips, write_blocklist
 from siltlog.operators.rules import Ruleset
-from siltlog.operators.star import without_stored
 from siltlog.plans.ingest import ingest_files
+from siltlog.plans.scratch import delete
+from siltlog.plans.store import entries_view, rejected_view, stored, take
 from siltlog.sources.logs import preload, seed_rules
-from siltlog.streaming.ingest import ENTRY_SCHEMA, entries_view, rejected_view, stored
 
 
 @dataclass
@@ -46,21 +46,22 @@ def write_ledger(spark: SparkSession, store: str, new: DataFrame) -> None:
 
 
 def run(spark: SparkSession, config: Config) -> dict[str, DataFrame]:
-    """Ingest what is new, append it, and tell: entries, rejected, blocked since before, counters by file."""
+    """Ingest what is new into the star schema, and tell: entries, rejected, blocked since before, counters by file."""
     seed_rules(config.rules)
     rules = Ruleset.load(config.rules, config.exclude, config.secondary)
     told = rejected_view(spark, config.store)
-    known = told.unionByName(preload(spark, config.known)) if config.known else told
-    frames, files = ingest_files(spark, config.logs, rules, config.pattern, read_ledger(spark, config.store) if config.timestamps else None, known)
-    found = rejected_ips(frames.judged, preload(spark, config.known) if config.known else None)
-    fresh_blocks = new_blocked(found, told.where("blocked"))
-    told_now = f"{config.store}/new_blocked/{uuid.uuid4().hex}"
-    fresh_blocks.write.parquet(told_now)  # before rejected_ips grows, of which it is the difference
-    fresh = without_stored(frames.entries.select(*ENTRY), stored(spark, f"{config.store}/entries_flat", ENTRY_SCHEMA))
-    fresh.write.mode("append").parquet(f"{config.store}/entries_flat")
-    found.write.mode("append").parquet(f"{config.store}/rejected_ips")
+    preloaded = preload(spark, config.known) if config.known else None
+    known = told if preloaded is None else told.unionByName(preloaded)
+    staged = f"{config.store}/judged-{uuid.uuid4().hex}"
+    frames, files = ingest_files(spark, config.logs, rules, config.pattern, read_ledger(spark, config.store) if config.timestamps else None, known, staged)
+    found = rejected_ips(frames.judged, preloaded)
+    kept = f"{config.store}/told/{uuid.uuid4().hex}"
+    new_blocked(found, told.where("blocked")).write.parquet(f"{kept}/new_blocked")  # before rejected_ips grows, of which it is the difference
+    file_counters(frames.judged).write.parquet(f"{kept}/files")
+    take(spark, config.store, frames.entries, found)
     write_ledger(spark, config.store, files)
+    delete(spark, staged)
     rejected = rejected_view(spark, config.store)
     if config.save:
         write_blocklist(rejected, config.save)
-    return {"entries": entries_view(spark, config.store), "rejected": rejected, "new_blocked": spark.read.schema("ip string").parquet(told_now), "files": file_counters(frames.judged)}
+    return {"entries": entries_view(spark, config.store), "rejected": rejected, "new_blocked": spark.read.schema("ip string").parquet(f"{kept}/new_blocked"), "files": spark.read.parquet(f"{kept}/files")}

@@ -1,54 +1,38 @@
 """Incremental ingest: a file stream whose batches go through the same plan.
 
 Each trigger takes the files that are new; redirect state never crosses a file,
-so a batch needs no state of earlier ones. Entries are appended without rows the
-store holds already, rejected addresses are kept for later batches, and a view
-leaves out what they purge.
+so a batch needs no state of earlier ones. Entries are appended to the star schema
+without rows the store holds already, rejected addresses are kept for later
+batches, and stored rows of theirs go.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from siltlog.operators.purge import ENTRY, purge, rejected_ips
+from siltlog.operators.purge import rejected_ips
 from siltlog.operators.rules import Ruleset
-from siltlog.operators.star import without_stored
 from siltlog.plans.ingest import ingest
+from siltlog.plans.scratch import delete
+from siltlog.plans.store import rejected_view, take
 from siltlog.sources.logs import file_vhosts
 
-ENTRY_SCHEMA = "dt timestamp_ntz, ip string, http int, was_rd boolean, vhost string, url string, ref string, ua string"
-
-
-def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
-
-
-def entries_view(spark: SparkSession, store: str) -> DataFrame:
-    """Stored entries without those of addresses rejected since."""
-    return purge(stored(spark, f"{store}/entries_flat", ENTRY_SCHEMA), rejected_view(spark, store)).select(*ENTRY)
-
-
-def rejected_view(spark: SparkSession, store: str) -> DataFrame:
-    return stored(spark, f"{store}/rejected_ips", "ip string, blocked boolean").groupBy("ip").agg(F.max("blocked").alias("blocked"))
-
 
 def stream(spark: SparkSession, logs: str, store: str, rules: Ruleset, pattern: str = "*access.log*", files_per_trigger: int = 100) -> StreamingQuery:
     """Read all new files of a folder into the store, then stop."""
 
-    def take(batch: DataFrame, _: int) -> None:
+    def each(batch: DataFrame, _: int) -> None:
         key = F.struct("block", F.monotonically_increasing_id().alias("at"))
         lines, vhosts = file_vhosts(batch.select("file", key.alias("line_key"), "value"))
-        frames = ingest(lines, rules, vhosts, rejected_view(batch.sparkSession, store))
-        new = rejected_ips(frames.judged)
-        fresh = without_stored(frames.entries.select(*ENTRY), stored(batch.sparkSession, f"{store}/entries_flat", ENTRY_SCHEMA))
-        fresh.write.mode("append").parquet(f"{store}/entries_flat")
-        new.write.mode("append").parquet(f"{store}/rejected_ips")
+        spark, staged = batch.sparkSession, f"{store}/judged-{uuid.uuid4().hex}"
+        frames = ingest(lines, rules, vhosts, rejected_view(spark, store), staged)
+        take(spark, store, frames.entries, rejected_ips(frames.judged))
+        delete(spark, staged)
 
     source = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", pattern).text(logs)
     lines = source.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
-    return lines.writeStream.foreachBatch(take).option("checkpointLocation", f"{store}/checkpoint").trigger(availableNow=True).start()
+    return lines.writeStream.foreachBatch(each).option("checkpointLocation", f"{store}/checkpoint").trigger(availableNow=True).start()

@@ -11,7 +11,7 @@ from siltlog.operators.rules import Ruleset, csv_ints
 from siltlog.plans import store
 from siltlog.plans.ingest import ingest, ingest_files
 from siltlog.sources.logs import preload, read_lines, rule_lines, seed_rules
-from siltlog.streaming.ingest import entries_view, stream
+from siltlog.streaming.ingest import stream
 
 T = "20/Feb/2015:05:57:23 +0000"
 
@@ -66,7 +66,7 @@ def _sequential(files, rules):
     return bad, list(dict.fromkeys(kept))
 
 
-def test_against_a_loop(spark):
+def test_against_a_loop(spark, tmp_path):
     rng = random.Random(11)
     rules = Ruleset(ip=["10.0.0.1"], url=["/wp"], ref=["spam"], ua=["[bB]ot"], vhost=["^admin"], exclude=[500])
     files = []
@@ -82,11 +82,45 @@ def test_against_a_loop(spark):
     assert {r.ip: r.blocked for r in frames.rejected.collect()} == bad
     got = sorted((r.ip, r.vhost, r.url, r.http, r.ref, r.ua, r.was_rd) for r in frames.entries.collect())
     assert got == sorted(kept) and any(r[-1] for r in got)
-    tables = star.star(frames.entries)
+    store.append(spark, str(tmp_path / "store"), frames.entries)
+    tables = store.read(spark, str(tmp_path / "store"))
     assert [r.id for r in tables["entries"].orderBy("id").collect()] == list(range(1, len(kept) + 1))
     assert star.resolved(tables).count() == len(kept) and star.hits_for_ip(tables, got[0][0]).first().hits == sum(g[0] == got[0][0] for g in got)
 
 
+def test_ids_stay_and_go_on(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = lambda *x: ingest(spark.createDataFrame([(f, k, line(ip, url=u)) for f, k, ip, u in x], "file string, line_key int, value string"), Ruleset(url=["/wp"]))
+    one = rows(("a", 2, "1.1.1.2", "/b"), ("a", 1, "1.1.1.1", "/a"), ("b", 0, "1.1.1.3", "/a"))
+    store.take(spark, path, one.entries, one.rejected)
+    told = lambda: ({r.ip: r.id for r in store.read(spark, path)["entries"].collect()}, {r.value: r.id for r in store.read(spark, path)["url"].collect()})
+    assert told() == ({"1.1.1.1": 1, "1.1.1.2": 2, "1.1.1.3": 3}, {"/a": 1, "/b": 2})
+    store.take(spark, path, one.entries, one.rejected)  # again: nothing is new
+    two = rows(("c", 0, "1.1.1.3", "/wp"), ("c", 1, "1.1.1.1", "/a"), ("c", 2, "1.1.1.4", "/c"), ("c", 3, "1.1.1.4", "/a"), ("c", 4, "1.1.1.5", "/b"))
+    store.take(spark, path, two.entries, two.rejected)
+    assert told() == ({"1.1.1.1": 1, "1.1.1.2": 2, "1.1.1.4": 5, "1.1.1.5": 6}, {"/a": 1, "/b": 2, "/c": 3})  # 1.1.1.3 went; 4 and 5 are the two rows of 1.1.1.4
+    entries = spark.read.parquet(f"{path}/entries")
+    assert entries.select("id").distinct().count() == entries.count() == 5
+    assert sorted((r.ip, r.url) for r in store.entries_view(spark, path).collect()) == [("1.1.1.1", "/a"), ("1.1.1.2", "/b"), ("1.1.1.4", "/a"), ("1.1.1.4", "/c"), ("1.1.1.5", "/b")]
+    assert not [x for x in (tmp_path / "store").iterdir() if x.name.startswith("staged")]
+
+
+def test_jdbc_round_trip(spark, tmp_path):
+    frames = ingest(spark.createDataFrame([("a", 1, line(url="/x")), ("a", 2, line(url="/y", ref="http://r/"))], "file string, line_key int, value string"), Ruleset())
+    store.append(spark, str(tmp_path / "store"), frames.entries)
+    tables, url = store.read(spark, str(tmp_path / "store")), f"jdbc:derby:{tmp_path}/db;create=true"
+    store.write_jdbc(tables, url, {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
+    back = store.read_jdbc(spark, url, {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
+    for name in store.TABLES:
+        assert sorted(map(tuple, back[name].select(*tables[name].columns).collect())) == sorted(map(tuple, tables[name].collect()))
+
+
+def test_address_rules_need_four_groups(spark):
+    df = spark.createDataFrame([("1.2.3.4",), ("1.2.3",), ("5",)], "ip string")
+    match = lambda *rules: sorted(r.ip for r in df.where(Ruleset(ip=list(rules)).matches("ip")).collect())
+    assert match("1.2.3", "5", " 1.2.3.4 ", "") == ["1.2.3.4"] and match() == [] and match("1.2.3") == []
+
+
 def test_files_ledger_stream_and_blocklist(spark, tmp_path):
     logs = tmp_path / "logs"
     logs.mkdir()
@@ -99,7 +133,7 @@ def test_files_ledger_stream_and_blocklist(spark, tmp_path):
     rules_dir = str(tmp_path / "rules")
     assert seed_rules(rules_dir) and not seed_rules(rules_dir)
     rules = Ruleset.load(rules_dir)
-    assert rules.url == rule_lines(rules_dir, "url") and r"/wp\-admin" in rules.url and csv_ints("404, 500,") == [404, 500]
+    assert rules.url == rule_lines(rules_dir, "url") and "/wp-(admin|login|config)" in rules.url and csv_ints("404, 500,") == [404, 500]
     frames, rows = ingest_files(spark, str(logs), rules)
     assert sorted((r.vhost, r.ip, r.url) for r in frames.entries.collect()) == [("my.site.org", "1.2.3.4", "/"), ("site.com", "1.2.3.4", "/b"), ("site.com", "6.6.6.6", "/")]
     seen = ledger.upsert(spark.createDataFrame([], ledger.SCHEMA), rows)
@@ -112,13 +146,13 @@ def test_files_ledger_stream_and_blocklist(spark, tmp_path):
     purge.write_blocklist(known.rejected, str(tmp_path / "blocked"))
     assert [r.value for r in spark.read.text(str(tmp_path / "blocked")).collect()] == ["5.5.5.5", "6.6.6.6"]
     path = str(tmp_path / "store")
-    store.write(frames, path)
+    store.take(spark, path, frames.entries, frames.rejected)
     assert store.purge_ip(spark, path, spark.createDataFrame([("6.6.6.6",)], "ip string")) == 1
     assert store.read(spark, path)["entries"].count() == 2
     assert store.purge_ip(spark, path, spark.createDataFrame([("6.6.6.6",)], "ip string")) == 0
     for _ in range(2):
         stream(spark, str(logs), str(tmp_path / "live"), rules).awaitTermination()
-        assert entries_view(spark, str(tmp_path / "live")).count() == 3
+        assert store.entries_view(spark, str(tmp_path / "live")).count() == 3
     (logs / "access.log.3").write_text(line(ip="6.6.6.6", url="/wp-admin/") + "\n" + line(ip="7.7.7.7") + "\n" + line(url="/b") + "\n")
     stream(spark, str(logs), str(tmp_path / "live"), rules).awaitTermination()
-    assert sorted(r.ip for r in entries_view(spark, str(tmp_path / "live")).collect()) == ["1.2.3.4", "1.2.3.4", "7.7.7.7"]
+    assert sorted(r.ip for r in store.entries_view(spark, str(tmp_path / "live")).collect()) == ["1.2.3.4", "1.2.3.4", "7.7.7.7"]

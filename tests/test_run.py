@@ -1,4 +1,6 @@
 from siltlog.__main__ import main
+from siltlog.plans import reports
+from siltlog.plans import store as store_
 from siltlog.plans.run import Config, read_ledger, run
 
 
@@ -17,6 +19,10 @@ def test_runs_add_up(spark, tmp_path, capsys):
     assert sorted(r.ip for r in out["entries"].collect()) == ["1.1.1.1", "4.4.4.4"]
     assert [r.ip for r in out["new_blocked"].collect()] == ["2.2.2.2"] == [r.value for r in spark.read.text(str(tmp_path / "blocked")).collect()]
     assert out["files"].count() == 1 and sorted(r.records for r in read_ledger(spark, store).collect()) == [1, 2]
+    for name, report in reports.REPORTS.items():  # the store that runs leave is what reports read
+        assert report(store_.read(spark, store), reports.Settings(host="site")).count() >= 0, name
+    assert [r.N for r in reports.q14(store_.read(spark, store), reports.Settings()).collect()] == [2]
+    assert spark.read.parquet(f"{store}/entries").count() == 2  # stored rows of 2.2.2.2 are gone
     (tmp_path / "known").write_text("4.4.4.4\n")
     main(["-e", "404", "-y", "-d", rules, "-f", str(tmp_path / "known"), store, str(logs)])
     assert "2 blocked; 1 entries stored" in capsys.readouterr().out
