@@ -1,7 +1,9 @@
 import hashlib
 import random
+import struct
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from siltlog.llm import fingerprints as fp
@@ -57,3 +59,38 @@ def test_query(spark, tmp_path):
     for k, (i, t) in enumerate(ordered):
         n, other = len(t) // 4, ordered[(k + 1) % len(ordered)][1]
         assert rows[i].n_chars == len(t) and rows[i].edited_sha256 == hashlib.sha256((t[: len(t) - n] + other[:n]).encode()).hexdigest()
+
+
+def _plain(text, bins, bits, size):
+    """The fingerprint by loops."""
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    words = [signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in (text or "").split()]
+
+    def run(values):
+        h = 42
+        for v in values:
+            h = xxhash.xxh64_intdigest(struct.pack("<q", v), h)
+        return signed(h)
+
+    hashes = [run(words[k : k + size]) for k in range(len(words) - size + 1)] if len(words) >= size else [run(words)]
+    least = {}
+    for h in hashes:
+        b = (h >> (64 - (bins.bit_length() - 1))) + bins // 2
+        least[b] = min(h, least.get(b, h))
+    tables, out = fp._looks(bins, fp.LOOKS), []
+    for i in range(bins):
+        b = next((x for x in [i, *[t[i] for t in tables]] if x in least), None)
+        if b is None:
+            order = lambda x: signed(xxhash.xxh64_intdigest(struct.pack("<i", x), xxhash.xxh64_intdigest(struct.pack("<i", i), xxhash.xxh64_intdigest(struct.pack("<i", 11), 42))))
+            b = min(least, key=lambda x: (order(x), x))
+        out.append(format(least[b] & (1 << bits) - 1, f"0{bits // 4}x"))
+    return "".join(out)
+
+
+@pytest.mark.parametrize("bins, bits, size", [(128, 8, 5), (16, 4, 2)])
+def test_equals_plain_loops(spark, bins, bits, size):
+    rng = random.Random(4)
+    texts = ["", None, "a", "a b", *[" ".join(f"w{rng.randrange(50)}" for _ in range(rng.randrange(1, 80))) for _ in range(40)]]
+    df = fp.fingerprint(spark.createDataFrame(list(enumerate(texts)), "k int, text string"), "text", "f", bins, bits, size)
+    for r in df.collect():
+        assert r.f == _plain(texts[r.k], bins, bits, size), texts[r.k]

@@ -52,3 +52,32 @@ def test_viterbi_equals_all_paths():
         best = max((score(e, p) for p in itertools.product(range(3), repeat=int(n))), default=0)
         assert abs(score(e, path[at : at + n].tolist()) - best) < 1e-4
         at += n
+
+
+def test_word_scores_equal_plain_counts(spark):
+    rng = random.Random(6)
+    rows = [(k, _text(rng, lang, 20), lang) for k, lang in enumerate(["en", "de"] * 20)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+
+    def pieces(word):  # with word ends from order 2 on, which count as one letter
+        w = "\x01" + word + "\x01"
+        return [*word, *[w[k : k + 2] for k in range(len(w) - 1)], *[w[k : k + 3] for k in range(len(w) - 2)]]
+
+    bucket, counts = {}, {lang: {} for lang in model.langs}
+    for _, text, lang in rows:
+        for word in text.split():
+            found, owner = langid.grams([word])
+            assert len(found) == len(pieces(word)) and set(owner) == {0}
+            for g, b in zip(pieces(word), found.tolist()):
+                assert bucket.setdefault(g, b) == b
+                counts[lang][b] = counts[lang].get(b, 0) + 1
+    new = ["thing", "keitung", "zzz", "the-schön", "ein"]
+    scores, letters, known = model.score(new)
+    for word, got in zip(new, scores):
+        want = np.zeros(2)
+        for _, run in langid.runs(word):
+            at = [np.log((np.array([counts[lang].get(b, 0) for lang in model.langs]) + 0.5) / (np.array([sum(counts[lang].values()) for lang in model.langs]) + 0.5 * langid.BUCKETS)) for b in langid.grams([run])[0].tolist()]
+            one = np.sum(at, 0) / langid.ORDERS
+            want += np.maximum(one - one.max(), langid.FLOOR)
+        assert np.allclose(got, want, atol=1e-3), word
+    assert letters.tolist() == known.tolist() == [5, 7, 3, 8, 3]

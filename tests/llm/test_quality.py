@@ -1,6 +1,8 @@
+import math
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from siltlog.llm import quality
 
@@ -50,3 +52,22 @@ def test_dual_descent_reaches_the_least_loss():
 
     least = loss(w, bias)
     assert all(loss(w + d[:30], bias + d[30]) > least - 1e-3 for d in rng.normal(scale=0.05, size=(200, 31)))
+
+
+def test_ratios_and_margins_equal_plain_counts():
+    rng = random.Random(9)
+    texts = [(_good if k % 3 else _bad)(rng, 12) for k in range(80)]
+    labels = [int(k % 3 > 0) for k in range(80)]
+    features = quality.Features()
+    rows = features.distinct(pa.array(texts))
+    assert [x.tolist() for x in rows] == [quality.Features().distinct(pa.array([t]))[0].tolist() for t in texts]  # batches do not matter
+    model = quality.train(rows, labels)
+    kept = [(set(x.tolist()), y) for k, (x, y) in enumerate(zip(rows, labels)) if k % 4 != 3]
+    n = {y: sum(1 for _, z in kept if z == y) + 2 for y in (0, 1)}
+    for b in sorted({b for x, _ in kept for b in x}):
+        have = {y: sum(1 for x, z in kept if z == y and b in x) for y in (0, 1)}
+        want = math.log((have[1] + 1) / n[1] / ((have[0] + 1) / n[0])) if sum(have.values()) >= 3 else 0
+        assert abs(model.ratio[b] - want) < 1e-9
+    for text, x, margin in zip(texts, rows, model.margins(features, pa.array(texts))):
+        norm = math.sqrt(sum(model.ratio[b] ** 2 for b in x)) or 1
+        assert abs(margin - model.bias - sum(model.ratio[b] * model.weights[b] for b in x) / norm) < 1e-9, text

@@ -69,3 +69,34 @@ def test_files_round_trip(spark, tmp_path):
     assert token_files.lookup(spark, str(tmp_path / "t"), 5).first().ids == _want(lib, "b")
     token_files.write_tokens(docs.limit(0), str(tmp_path / "e"), PATH)
     assert token_files.layout(token_files.read_tokens(spark, str(tmp_path / "e"))).count() == 0
+
+
+def test_lookups_skip_by_indexes_and_bloom_filters(spark, tmp_path):
+    path = str(tmp_path / "t")
+    token_files.write_tokens(spark.range(0, 40_000, 1).selectExpr("id * 2 as doc_id", "concat('word ', id) as text"), path, PATH)
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    files = sorted((tmp_path / "t").glob("*.orc"))
+    reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(str(files[0])), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+    assert reader.getRowIndexStride() == 1000 and reader.getStripes().size() >= 1 and reader.getNumberOfRows() > 3000
+    stripe = reader.getStripes().get(0)
+    streams = {str(x.getKind()) for x in _streams(reader, stripe)}
+    assert {"ROW_INDEX", "BLOOM_FILTER_UTF8"} <= streams
+
+    def read(doc_id):
+        df = token_files.lookup(spark, path, doc_id)
+        found, plan = df.collect(), df._jdf.queryExecution().executedPlan()
+        leaves = plan.collectLeaves()
+        return len(found), sum(leaves.apply(k).metrics().apply("numOutputRows").value() for k in range(leaves.size()))
+
+    assert read(24_680)[0] == 1 and 0 < read(24_680)[1] <= 1000  # one group of rows of 40,000
+    absent = [read(k)[1] for k in range(10_001, 10_041, 2)]  # within the range of a group, so its statistics do not tell
+    assert sum(x == 0 for x in absent) >= 15
+
+
+def _streams(reader, stripe):
+    rows = reader.rows()
+    try:
+        return list(rows.readStripeFooter(stripe).getStreamsList())
+    finally:
+        rows.close()
