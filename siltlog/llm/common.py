@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltlog.llm.words import trim
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -77,7 +79,7 @@ class Scratch:
 
 
 #: Arrow batches of at most so many rows and bytes bound what a Python worker holds.
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -127,6 +129,7 @@ def text_bytes(df: DataFrame, column: str = "text") -> int:
 
 
 def settle(spark: SparkSession) -> None:
-    """Let go of the shuffle files of steps that are over: Spark deletes them once their plans are collected."""
+    """Let go of the shuffle files of steps that are over: Spark deletes them once their plans are collected. Freed memory goes back to the system."""
     gc.collect()
+    trim()
     spark.sparkContext._jvm.System.gc()

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from siltlog.llm.common import Scratch, Sieve, documents, settle, small_batches
 from siltlog.llm.components import components
 from siltlog.llm.shingles import Shingler, Signer, band_keys
-from siltlog.llm.words import claim, pieces
+from siltlog.llm.words import claim, pieces, trim
 
 ROWS, BANDS = 6, 36
 BLOCK, SALTS = 32, 64  # members of a block; parts into which the blocks of a component are dealt
@@ -87,6 +87,7 @@ def _verify(percent: int, shingle: int):
             a, b = (shingler.sets(c.dictionary) for c in coded)
             keep = pa.array([_alike(a[x], b[y], percent) for x, y in zip(*(c.indices.to_pylist() for c in coded), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("b").filter(keep), batch.column("a").filter(keep)], ["u", "v"])
+        trim()
 
     return run
 
@@ -132,6 +133,7 @@ def _compare_blocks(percent: int, shingle: int):
                     found.setdefault((min(a, b)[0], max(a, b)[0]), (max(a[1], b[1]), min(a[1], b[1])))
             u, v = zip(*found.values(), strict=True) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+        trim()
 
     return run
 

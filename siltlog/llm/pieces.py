@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltlog.llm.common import documents
+from siltlog.llm.common import documents, small_batches
 from siltlog.llm.words import ChunkMemo, claim, numbered
 from siltlog.llm.words import pieces as slices
 
@@ -50,7 +50,7 @@ _SEGMENT = re.compile(f"{MARK}*[^{MARK}\n]+|\n|{MARK}+")
 class PieceModel:
     """Encoder and decoder for a SentencePiece model file without normalizing rules."""
 
-    def __init__(self, data: bytes, most: int = 400_000):
+    def __init__(self, data: bytes, most: int = 250_000):
         from sentencepiece import sentencepiece_model_pb2
 
         proto = sentencepiece_model_pb2.ModelProto()
@@ -61,23 +61,24 @@ class PieceModel:
         self.kind = proto.trainer_spec.model_type
         if self.kind not in (UNIGRAM, BPE):
             raise ValueError(f"model type {self.kind} is not covered")
-        self.ids = {p.piece: i for i, p in enumerate(proto.pieces) if p.type in (NORMAL, USER)}
+        self.names: list[str] = [p.piece for p in proto.pieces]  # characters outside the vocabulary come after, as they are met
+        kinds, self.value = [p.type for p in proto.pieces], [p.score for p in proto.pieces]
+        del proto
+        self.ids = {p: i for i, (p, kind) in enumerate(zip(self.names, kinds, strict=True)) if kind in (NORMAL, USER)}
         if any(MARK in p.lstrip(MARK) or "\n" in p and len(p) > 1 for p in self.ids):
             raise ValueError("pieces that cross blanks are not covered")
-        self.scores = {p.piece: p.score for p in proto.pieces if p.type in (NORMAL, USER)}
-        self.unknown = next(i for i, p in enumerate(proto.pieces) if p.type == UNKNOWN)
-        self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == BYTE}
+        self.scores = {p: self.value[i] for p, i in self.ids.items()}
+        self.unknown = kinds.index(UNKNOWN)
+        self.bytes = {int(p[3:5], 16): i for i, (p, kind) in enumerate(zip(self.names, kinds, strict=True)) if kind == BYTE}
         self.lowest = min(self.scores.values()) - 10
-        self.table = [p.piece.replace(MARK, " ").encode() if p.type in (NORMAL, USER) else b"" for p in proto.pieces]
+        self.table = [p.replace(MARK, " ").encode() if kind in (NORMAL, USER) else b"" for p, kind in zip(self.names, kinds, strict=True)]
         for b, i in self.bytes.items():
             self.table[i] = bytes([b])
         self.table[self.unknown] = " ⁇ ".encode()
         self.blob = pa.array(self.table, pa.binary())
         self.most = most
-        self.names: list[str] = [p.piece for p in proto.pieces]  # characters outside the vocabulary come after, as they are met
         self.size = len(self.names)
         self.lengths = list(map(len, self.names))
-        self.value = [p.score for p in proto.pieces]
         self.outside: dict[str, int] = {}
         self.beside: dict[int, bool] = {}
         self.edges = dict(self.ids)
@@ -86,7 +87,7 @@ class PieceModel:
         self.states = {p[:k]: -1 for p in self.edges for k in range(len(p) + 1)} | {"": 0}
         self.alphabet = {c for p in self.edges for c in p}
         self.texts, self.steps, self.ends = [""], [{}], [()]
-        self.memo = ChunkMemo(self._encode_words)
+        self.memo = ChunkMemo(self._encode_words, bits=19)
 
     def merge(self, text: str) -> list[str]:
         """Merge the best-scored neighbours, leftmost first among equals, until none is a piece."""
@@ -267,6 +268,7 @@ def _encoder(path: str):
 
 def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, ids, n_pieces, ids_crc32, decoded_sha256 (of the decoded text), round_trip."""
+    small_batches(docs.sparkSession)
     schema = "doc_id long, ids array<int>, n_pieces long, ids_crc32 long, decoded_sha256 string, round_trip boolean"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_encoder(model_path), schema)
 

@@ -28,11 +28,12 @@ import json
 import math
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltlog.llm.common import documents
+from siltlog.llm.common import Scratch, documents, settle
 
 TELLING = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|credential|api_?-?key|access_?-?key|private_?-?key|auth(orization)?|bearer)"
 PREFIX = r"(AKIA|ASIA|gh[pousr]_|github_pat_|sk_live_|sk_test_|sk-|xox[abprs]-|glpat-|AIza|eyJ|SG\.|hf_|npm_)[A-Za-z0-9]"
@@ -68,6 +69,7 @@ class Book:
     steps: list[float]
 
 
+@lru_cache(4)
 def book(path: str | None = None, words: int = WORDS) -> Book:
     """From a vocabulary file (JSON) whose whole words end in </w>, in order of frequency."""
     if path is None:
@@ -308,8 +310,12 @@ def trees_of(model) -> list[Tree]:
 
 
 def train(findings: DataFrame, by: Book | None = None, **options) -> Forest:
-    by = by or book()
-    return Forest(trees_of(fit(findings, by, **options)), by)
+    """A forest from labelled findings(text, label), which are written once: made-up ones are long expressions."""
+    by, scratch = by or book(), Scratch(findings.sparkSession, "findings")
+    forest = Forest(trees_of(fit(scratch.write("lines", findings.coalesce(2)), by, **options)), by)
+    scratch.drop("lines")
+    settle(findings.sparkSession)
+    return forest
 
 
 def votes(trees: list[Tree], f: Column) -> Column:

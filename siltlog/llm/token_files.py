@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltlog.llm.common import documents, drop_path, parts, text_bytes, scratch_path, spool
+from siltlog.llm.common import documents, drop_path, parts, scratch_path, small_batches, spool, text_bytes
 from siltlog.llm.words import ChunkMemo, claim, distinct_chunks, pieces
 
 FILE_BYTES = 128 << 20  # of planned input, a file
@@ -43,7 +43,7 @@ class WordEncoder:
     whole tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 120_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -132,6 +132,7 @@ def _encoder(path: str, end_id: int):
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, stripe_bytes: int = 16 << 20) -> None:
     """Encode docs(doc_id, text) and write their ids under path, in ascending doc_id order over the files."""
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("_h"))
     n_files = max(parts(spark), -(-text_bytes(texts) // FILE_BYTES))
     ranged = (

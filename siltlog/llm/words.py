@@ -31,9 +31,11 @@ def claim(name: str, drop=None) -> None:
     Python workers outlive tasks and serve one operator after another, so what
     one of them keeps would otherwise stay beside what the next one needs.
     """
-    if _OWNER[0] not in (None, name) and _OWNER[1] is not None:
-        _OWNER[1]()
+    if _OWNER[0] not in (None, name):
+        if _OWNER[1] is not None:
+            _OWNER[1]()
         gc.collect()
+        trim()
     _OWNER[:] = name, drop
 
 
@@ -88,7 +90,7 @@ def _hashes(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Numbers:
     """Numbers strings as they are first seen, up to a bound; strings are told apart by 126 bits of hashes, not kept."""
 
-    def __init__(self, bits: int = 21):
+    def __init__(self, bits: int = 20):
         self.bits = bits
         self.reset()
 
@@ -167,7 +169,7 @@ def trim() -> None:
 class ChunkMemo:
     """Ids of strings as 32-bit integers; encode maps a list of strings to their ids, one after the other, and how many each has."""
 
-    def __init__(self, encode, bits: int = 21):
+    def __init__(self, encode, bits: int = 20):
         self.encode, self.numbers = encode, Numbers(bits)
         self.reset()
 
@@ -193,8 +195,9 @@ class ChunkMemo:
         return gather(flat, starts[at], n), ends[np.concatenate([[0], np.cumsum(sizes)])]
 
 
-def pieces(batches, limit: int = 4_000_000):
-    """Slices of Arrow batches whose texts hold about `limit` bytes at most (or one row); memory is trimmed after the last."""
+def pieces(batches, limit: int = 1_500_000):
+    """Slices of Arrow batches whose texts hold about `limit` bytes at most (or one row); memory is trimmed now and then, and after the last."""
+    done = 0
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         start = 0
@@ -203,4 +206,7 @@ def pieces(batches, limit: int = 4_000_000):
             end = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
             yield batch.slice(start, end - start)
             start = end
+            done += 1
+            if done % 4 == 0:
+                trim()
     trim()

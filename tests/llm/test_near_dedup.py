@@ -65,6 +65,18 @@ def test_one_bucket_of_many_members(spark):
     assert {r.doc_id for r in found if r.component_id == 0} >= near and len(near) > 4000
 
 
+def test_pairs_at_the_threshold(spark):
+    rng, rows = random.Random(4), []
+    for k in range(400):  # 16 of 20 words in common, then 15 of 19
+        for n, i in ((18, 10 * k), (17, 10 * k + 5)):
+            words = [f"v{k}x{n}y{x}" for x in range(n + 2)]
+            rows += [(i, " ".join(words[:n])), (i + 1, " ".join(words[2:]))]
+    rng.shuffle(rows)
+    found = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=1).collect()}
+    assert all(found[10 * k + 1] == 10 * k for k in range(400))
+    assert all(found[10 * k + 6] == 10 * k + 6 for k in range(400))
+
+
 def test_empty(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
