@@ -146,7 +146,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
         .option("orc.bloom.filter.fpp", "0.01")
         .option("orc.stripe.size", stripe_bytes)
         .option("orc.row.index.stride", 1000)
-        .option("compression", "zstd")
+        .option("compression", "lz4")
         .orc(path)
     )
 
