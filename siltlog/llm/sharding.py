@@ -12,8 +12,8 @@ summed up into offsets, and row_number works inside a bucket only.
 
 Null sources are a source of their own; a null text counts as no bytes; null
 ids and repeated rows are placed like any other (equal rows are interchangeable;
-rows without an id are told apart by where they stand, so that very many equal ones
-do not fall into one bucket). An empty table gives an empty result.
+those without an id are counted and numbered, so that very many equal ones do not
+fall into one bucket). An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -49,9 +49,14 @@ def interleave(docs: DataFrame, n_shards: int = 8, seed: int = 17, stratum: str
         F.crc32(text).alias("text_crc32"),
         F.coalesce(F.concat(F.lit("s"), F.col(stratum).cast("string")), F.lit("")).alias("_s"),
     )
-    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("none "), F.monotonically_increasing_id().cast("string")))
-    digest = F.md5(F.encode(F.concat_ws("|", F.lit(str(seed)), name, F.col("text_crc32").cast("string")), "UTF-8"))
-    rows = spool(rows.withColumn("_h", F.conv(F.substring(digest, 1, HEX), 16, 10).cast("long")), "shard-rows")
+    # rows without an id are what they show, and how often: numbers tell equal ones apart
+    none = rows.where(F.col("doc_id").isNull()).groupBy("doc_id", "size", "text_crc32", "_s").agg(F.count(F.lit(1)).alias("_n"))
+    none = none.withColumn("_k", F.explode(F.expr("sequence(0L, (_n - 1) div 1000)"))).repartition("_s", "text_crc32", "_k")
+    none = none.withColumn("_k", F.explode(F.expr("sequence(_k * 1000 + 1, least(_n, _k * 1000 + 1000))")))
+    named = rows.where(F.col("doc_id").isNotNull()).withColumn("_name", F.col("doc_id").cast("string"))
+    rows = named.unionByName(none.withColumn("_name", F.concat(F.lit("none "), F.col("_k").cast("string"))).drop("_n", "_k"))
+    digest = F.md5(F.encode(F.concat_ws("|", F.lit(str(seed)), F.col("_name"), F.col("text_crc32").cast("string")), "UTF-8"))
+    rows = spool(rows.withColumn("_h", F.conv(F.substring(digest, 1, HEX), 16, 10).cast("long")).drop("_name"), "shard-rows")
     total = rows.count()
     n_buckets = max(1, math.isqrt(total))
     rows = rows.withColumn("_b", _bucket(F.col("_h").cast("double") / float(16**HEX), n_buckets))
