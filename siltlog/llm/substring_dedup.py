@@ -7,8 +7,10 @@ later copies go whole (from `length` bytes on), so copies cost a row each.
 Every string of `length` bytes has a minimizer: its GRAM-byte piece with the
 smallest hash. Equal strings have equal minimizers, so texts are cut into
 stretches of neighbouring strings with one minimizer, and a stretch only matters
-if its minimizer is found in two texts. Those stretches are dealt out by the
-minimizer. Where one is in more texts than `hot`, or in more than `local` of a
+if its minimizer is found in two texts, and with it, at one side, another piece
+half a string away: what two texts have in common by chance is rarely so long, so
+the share of stretches that matter does not grow with the number of texts. Those
+stretches are dealt out by the minimizer. Where one is in more texts than `hot`, or in more than `local` of a
 slice, its strings are dealt out one by one by a hash of the whole string
 instead. Before that, equal ones within a slice are put together: all but those of
 the smallest id are sure to go, so a line that a third of all documents hold
@@ -45,6 +47,7 @@ GRAM, LENGTH, SHARDS = 16, 50, 4
 HOT, LOCAL = 4096, 64  # texts, in all and in one slice, from which on a minimizer is hot
 MERGED = 100_000  # bytes that are merged at once, and more only for one minimizer
 RANGE_BYTES, BUCKET_BYTES = 12 << 20, 1_500_000  # of texts whose minimizers, and of stretches that, meet in one task
+HELD = 16 << 20  # bytes that a task holds before it deals them out: slice by slice, rows would grow with the square of the input
 NO_ID = 2**63 - 1
 _M = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(0xFFFFFF)
@@ -114,18 +117,29 @@ def _scan(length: int, ranges: int, local: int):
     range gets just the hash, once, and its places go to a row beyond the ranges.
     """
 
-    def row(r, tids, texts, h, pos):
+    def row(r, tids, texts, h, pos, beside):
         cuts = _runs(texts)
-        return (int(r), tids[texts[cuts[:-1]]].astype("<i8").tobytes(), _planes(np.diff(cuts)), h.astype("<u4").tobytes(), _planes(pos))
+        return (int(r), tids[texts[cuts[:-1]]].astype("<i8").tobytes(), _planes(np.diff(cuts)), h.astype("<u4").tobytes(), _planes(pos), beside.tobytes())
+
+    def flush(held, tids):
+        r, text, low, pos, beside = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        order = np.lexsort((text, r))
+        r, text, low, pos, beside = r[order], text[order], low[order], pos[order], beside[order]
+        cuts = _runs(r)
+        return [row(r[a], tids, text[a:b], low[a:b], pos[a:b], beside[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def run(batches):
+        held, tids, size = [], np.zeros(0, np.int64), 0
         for batch in pieces(batches, 2_000_000):
             data, starts = join_bytes(pc.fill_null(batch.column("text"), "").cast(pa.binary()).to_pylist())
-            _, _, text, at, h, _ = stretches(data, starts, length)
+            first, last, text, at, h, grams = stretches(data, starts, length)
             if not len(at):
                 continue
             order = np.argsort(h, kind="stable")
+            beside = _beside(first, last, at, grams, length)[order]
             h, text, pos = h[order], text[order], (at - starts[text])[order]
+            del first, last, at, grams
             begins = _runs(h)
             fresh = np.ones(len(h), np.int64)
             fresh[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
@@ -136,23 +150,53 @@ def _scan(length: int, ranges: int, local: int):
             if often.any():
                 told = begins[:-1][often]
                 for x in np.unique(r[told]):
-                    rows.append((int(x), b"", b"", low[told[r[told] == x]].astype("<u4").tobytes(), b""))
+                    rows.append((int(x), b"", b"", low[told[r[told] == x]].astype("<u4").tobytes(), b"", b""))
                 by = np.flatnonzero(hot)[np.argsort(text[hot], kind="stable")]
-                rows.append(row(ranges + int(h[0] % np.uint64(ranges)), tid, text[by], low[by], pos[by]))
-            cold = np.flatnonzero(~hot)
-            cold = cold[np.lexsort((text[cold], r[cold]))]
-            cuts = _runs(r[cold])
-            rows += [row(r[cold[a]], tid, text[cold[a:b]], low[cold[a:b]], pos[cold[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                rows.append(row(ranges + int(h[0] % np.uint64(ranges)), tid, text[by], low[by], pos[by], beside[:0]))
+            cold = ~hot
+            held.append((r[cold], text[cold] + len(tids), low[cold].astype("<u4"), pos[cold], beside[cold]))
+            tids = np.concatenate([tids, tid])
+            size += 28 * int(cold.sum()) + 8 * len(tid)
+            if size > HELD:
+                rows += flush(held, tids)
+                tids, size = tids[:0], 0
             yield pa.RecordBatch.from_pylist([dict(zip(_SCAN.names, x, strict=True)) for x in rows], schema=_SCAN)
+        if held:
+            yield pa.RecordBatch.from_pylist([dict(zip(_SCAN.names, x, strict=True)) for x in flush(held, tids)], schema=_SCAN)
 
     return run
 
 
-_SCAN = pa.schema([("r", pa.int32()), ("tids", pa.binary()), ("n", pa.binary()), ("hash", pa.binary()), ("pos", pa.binary())])
+_SCAN = pa.schema([("r", pa.int32()), ("tids", pa.binary()), ("n", pa.binary()), ("hash", pa.binary()), ("pos", pa.binary()), ("beside", pa.binary())])
+
+
+def _beside(first: np.ndarray, last: np.ndarray, at: np.ndarray, grams: np.ndarray, length: int) -> np.ndarray:
+    """16 bits of the pieces half a string to the left and to the right of each minimizer; 0 where the stretch does not reach there.
+
+    Equal strings have their minimizer at the same place, in one half or the
+    other: they agree in one of these two, and both stretches reach there.
+    """
+    side = -(-(length - GRAM) // 2)
+    out = np.zeros((len(at), 2), "<u2")
+    for k, place, ok in ((0, at - side, at - first >= side), (1, at + side, at + side + GRAM <= last + length)):
+        out[ok, k] = np.maximum(grams[place[ok]] >> np.uint64(48), np.uint64(1))
+    return out
+
+
+def _shared(h: np.ndarray, beside: np.ndarray, tid: np.ndarray) -> np.ndarray:
+    """Whether another text has the same minimizer and the same piece beside it."""
+    key = h.astype(np.uint64) << np.uint64(16) | beside
+    order = np.lexsort((tid, key))
+    key, tid = key[order], tid[order]
+    cuts = _runs(key)
+    out = np.zeros(len(h), bool)
+    if len(h):
+        out[order] = np.repeat(tid[cuts[:-1]] != tid[cuts[1:] - 1], np.diff(cuts))
+    return out
 
 
 def _repeated(hot: int, ranges: int):
-    """Places of the minimizers of one range that are in two texts; those of hot ones are told by their complement."""
+    """Places of the minimizers of one range that are in two texts, with an equal piece beside them; those of hot ones are told by their complement."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -163,16 +207,24 @@ def _repeated(hot: int, ranges: int):
         if rows[0]["r"] >= ranges:
             return pa.table({"tid": pa.array(tid, pa.int64()), "place": pa.array(-1 - pos, pa.int64())})
         told = np.frombuffer(b"".join([x["hash"] for x in rows if not x["pos"]]), "<u4")
+        beside = joined("beside", "<u2").reshape(-1, 2)
         order = np.lexsort((tid, h))
-        tid, h, pos = tid[order], h[order], pos[order]
+        tid, h, pos, beside = tid[order], h[order], pos[order], beside[order]
+        known = np.isin(h, told)
+        keep = known.copy()
+        begins = _runs(h)
+        maybe = ~known & np.repeat(tid[begins[:-1]] != tid[begins[1:] - 1], np.diff(begins)) if len(h) else keep
+        for k in (0, 1):
+            some = np.flatnonzero(maybe & (beside[:, k] > 0))
+            keep[some[_shared(h[some], beside[some, k], tid[some])]] = True
+        tid, h, pos, known = tid[keep], h[keep], pos[keep], known[keep]
         begins = _runs(h)
         fresh = np.ones(len(h), np.int64)
         fresh[1:] = (h[1:] != h[:-1]) | (tid[1:] != tid[:-1])
         texts = np.add.reduceat(fresh, begins[:-1]) if len(h) else np.zeros(0, np.int64)
-        often = np.isin(h[begins[:-1]], told) | (texts > hot)
-        keep, often = (np.repeat(x, np.diff(begins)) for x in ((texts > 1) | often, often))
-        out = pa.table({"tid": pa.array(tid[keep], pa.int64()), "place": pa.array(np.where(often, -1 - pos, pos)[keep], pa.int64())})
-        del order, tid, h, pos, begins, fresh, texts, often, keep
+        often = known | np.repeat(texts > hot, np.diff(begins))
+        out = pa.table({"tid": pa.array(tid, pa.int64()), "place": pa.array(np.where(often, -1 - pos, pos), pa.int64())})
+        del order, tid, h, pos, beside, known, keep, begins, maybe, fresh, texts, often
         trim()
         return out
 
@@ -190,7 +242,32 @@ def _cut(length: int, buckets: int):
     buckets, their places are passed on without their bytes.
     """
 
+    def flush(held, surely):
+        if not held:
+            return
+        into, tid, ids, start, size = (np.concatenate(x) for x in zip(*surely, strict=True))
+        surely.clear()
+        order = np.argsort(into, kind="stable")
+        into, tid, ids, start, size = into[order], tid[order], ids[order], start[order], size[order]
+        cuts = _runs(into)
+        rows = [(int(into[x]), b"", tid[x:y].astype("<i8").tobytes(), ids[x:y].astype("<i8").tobytes(), _planes(start[x:y]), _planes(size[x:y]), b"", b"", 0) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+        bucket, key, tid, ids, start, size, lead, data = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        begins = np.cumsum(size) - size
+        order = np.argsort(bucket, kind="stable")
+        cuts = _runs(bucket[order])
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            k = order[x:y]
+            text = pa.compress(gather(data, begins[k], size[k]).tobytes(), "zstd", asbytes=True)
+            rows.append((int(bucket[k[0]]), key[k].astype("<u8").tobytes(), tid[k].astype("<i8").tobytes(), ids[k].astype("<i8").tobytes(), _planes(start[k]), _planes(size[k]), lead[k].tobytes(), text, int(size[k].sum())))
+            if len(rows) >= 2000:
+                yield pa.RecordBatch.from_pylist([dict(zip(_CUT.names, r, strict=True)) for r in rows], schema=_CUT)
+                rows = []
+        yield pa.RecordBatch.from_pylist([dict(zip(_CUT.names, r, strict=True)) for r in rows], schema=_CUT)
+        trim()
+
     def run(batches):
+        held, surely, full = [], [], 0
         for batch in pieces(batches, 2_000_000):
             data, starts = join_bytes(pc.fill_null(batch.column("text"), "").cast(pa.binary()).to_pylist())
             first, last, text, at, h, grams = stretches(data, starts, length)
@@ -219,7 +296,6 @@ def _cut(length: int, buckets: int):
             least = np.full(len(seen), NO_ID)
             np.minimum.at(least, number, ids)
             sure = ids > least[number]
-            rows = []
             # places that are sure to go, put together where they touch
             gone = np.flatnonzero(sure)
             gone = gone[np.argsort(a[gone], kind="stable")]
@@ -228,23 +304,16 @@ def _cut(length: int, buckets: int):
             new[1:] = (a[gone][1:] > until[:-1]) | (t[gone][1:] != t[gone][:-1])
             lo = gone[new]
             hi = until[np.append(np.flatnonzero(new)[1:], len(gone)) - 1] if len(gone) else lo
-            into = tid[lo] % buckets
-            order = np.argsort(into, kind="stable")
-            lo, hi, into = lo[order], hi[order], into[order]
-            cuts = _runs(into)
-            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-                k = lo[x:y]
-                rows.append((buckets + int(into[x]), b"", tid[k].astype("<i8").tobytes(), ids[k].astype("<i8").tobytes(), _planes(a[k] - starts[t[k]]), _planes(hi[x:y] - a[k]), b"", b"", 0))
+            surely.append((buckets + tid[lo] % buckets, tid[lo], ids[lo], a[lo] - starts[t[lo]], hi - a[lo]))
             left = np.flatnonzero(~sure)
+            a, size = a[left], size[left]
             bucket = (key[left] >> np.uint64(20)).astype(np.int64) % buckets
-            order = np.argsort(bucket, kind="stable")
-            bucket, left = bucket[order], left[order]
-            cuts = _runs(bucket)
-            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-                k = left[x:y]
-                text_of = pa.compress(gather(data, a[k], size[k]).tobytes(), "zstd", asbytes=True)
-                rows.append((int(bucket[x]), key[k].astype("<u8").tobytes(), tid[k].astype("<i8").tobytes(), ids[k].astype("<i8").tobytes(), _planes(a[k] - starts[t[k]]), _planes(size[k]), lead[k].astype(np.uint8).tobytes(), text_of, int(size[k].sum())))
-            yield pa.RecordBatch.from_pylist([dict(zip(_CUT.names, x, strict=True)) for x in rows], schema=_CUT)
+            held.append((bucket, key[left], tid[left], ids[left], a - starts[t[left]], size, lead[left].astype(np.uint8), gather(data, a, size)))
+            full += int(size.sum()) + 49 * len(left) + 40 * len(lo)
+            if full > HELD:
+                yield from flush(held, surely)
+                full = 0
+        yield from flush(held, surely)
 
     return run
 
@@ -389,7 +458,7 @@ def removed_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, local
     firsts = scratch.write("firsts", base.groupBy("sha").agg(F.min("_id").alias("first"), F.min("tid").alias("tid"), F.min("n_bytes").alias("n")))
     total = firsts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     ranges = max(1, -(-total // RANGE_BYTES))
-    scanned = texts.where(F.octet_length("text") >= length).select("tid", "text").mapInArrow(_scan(length, ranges, local), "r int, tids binary, n binary, hash binary, pos binary")
+    scanned = texts.where(F.octet_length("text") >= length).select("tid", "text").mapInArrow(_scan(length, ranges, local), "r int, tids binary, n binary, hash binary, pos binary, beside binary")
     places = scratch.write("places", scanned.groupBy("r").applyInArrow(_repeated(hot, ranges), "tid long, place long"))
     settle(spark)
     buckets = max(parts(spark), -(-places.count() * 70 // BUCKET_BYTES))

@@ -2,6 +2,8 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from siltlog.llm import bwt, substring_dedup
 
@@ -62,3 +64,39 @@ def test_equals_brute_force(spark, monkeypatch):
 
 def test_empty(spark):
     assert substring_dedup.removed_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_pieces_in_common_by_chance_make_no_places():
+    """Texts that share less than half a string beside a minimizer have nothing to be compared; those that share a string have."""
+    rng = random.Random(9)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    phrase, passage = letters(24), letters(50)
+    rows = [(k, letters(60) + phrase + letters(60)) for k in range(300)] + [(k, letters(80) + passage + letters(80)) for k in range(300, 310)]
+    batch = pa.RecordBatch.from_pydict({"tid": pa.array([k for k, _ in rows], pa.int64()), "text": [t for _, t in rows]})
+    for hot, local in ((4096, 1000), (5, 1000)):
+        scanned = pa.Table.from_batches(substring_dedup._scan(50, 1, local)(iter([batch])))
+        places = substring_dedup._repeated(hot, 1)(scanned)
+        assert set(places.column("tid").to_pylist()) == set(range(300, 310))
+        assert all((p < 0) == (hot == 5) for p in places.column("place").to_pylist())
+
+
+def test_slices_of_a_task_share_rows():
+    """A task makes a row for each range and bucket, not one for each of these and each slice."""
+    rng = random.Random(10)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(30_000)) for _ in range(10)] * 2
+    batches = [pa.RecordBatch.from_pydict({"tid": pa.array([k], pa.int64()), "first": pa.array([k], pa.int64()), "text": [t], "places": pa.array([[]], pa.list_(pa.int64()))}) for k, t in enumerate(texts)]
+    scanned = pa.Table.from_batches(substring_dedup._scan(50, 7, 64)(iter(batches)))
+    assert scanned.num_rows == 7
+    found = [substring_dedup._repeated(4096, 7)(scanned.filter(pc.equal(scanned["r"], r))) for r in range(7)]
+    places = {}
+    for k, p in zip(*(np.concatenate([f.column(c).to_numpy() for f in found]).tolist() for c in ("tid", "place")), strict=True):
+        places.setdefault(k, []).append(p)
+    assert set(places) == set(range(20))
+    full = [b.set_column(3, "places", pa.array([places[k]], pa.list_(pa.int64()))) for k, b in enumerate(batches)]
+    dealt = pa.Table.from_batches(substring_dedup._cut(50, 5)(iter(full)))
+    assert sorted(dealt["bucket"].to_pylist()) == [0, 1, 2, 3, 4]
+    gone = [x for b in range(5) for x in substring_dedup._search(50, 5)(dealt.filter(pc.equal(dealt["bucket"], b))).to_pylist()]
+    for k in range(10, 20):
+        spans = sorted((x["a"], x["b"]) for x in gone if x["tid"] == k)
+        assert spans[0][0] == 0 and max(b for _, b in spans) == 30_000 and all(a[1] >= b[0] for a, b in zip(spans, spans[1:]))
+    assert not [x for x in gone if x["tid"] < 10]
