@@ -104,11 +104,13 @@ class Numbers:
     def look(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of distinct strings, and where those are that were not known before, in the order of their numbers.
 
-        Long strings are not kept: they come last among the new, with numbers that the next call gives away again.
+        Long strings are not kept, nor more than there is room for: they come last among the new, with numbers that the next call gives away again.
         """
         a, b, sizes = _hashes(words)
         out, fresh = np.empty(len(words), np.int64), []
         kept = sizes <= _LONG
+        if self.full(len(words)):  # one text can hold more than all slots, which would leave none free to end the search
+            kept &= np.cumsum(kept) <= (2 << self.bits) // 3 - self.count
         todo = np.flatnonzero(kept)
         slot, mask = (a[todo] >> np.uint64(64 - self.bits)).astype(np.int64), (1 << self.bits) - 1
         while len(todo):
@@ -127,9 +129,9 @@ class Numbers:
             left = ~hit
             left[np.flatnonzero(free)[won]] = False
             todo, slot = todo[left], (slot[left] + 1) & mask
-        long = np.flatnonzero(~kept)
-        out[long] = np.arange(self.count, self.count + len(long))
-        return out, np.concatenate([*fresh, long]).astype(np.int64)
+        rest = np.flatnonzero(~kept)
+        out[rest] = np.arange(self.count, self.count + len(rest))
+        return out, np.concatenate([*fresh, rest]).astype(np.int64)
 
 
 class RowMemo:
